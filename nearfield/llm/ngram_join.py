@@ -40,6 +40,8 @@ PICK_BITS = 25
 #: Members of a list that one task compares with as many others.
 BLOCK = 2048
 FLUSH_WORDS = 400_000
+#: Cost of reading an entry of an inverted list, against that of sending one.
+LOOK = 0.05
 
 
 def ngram_sets(texts: list[bytes | None], n: int, memory: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
@@ -112,9 +114,12 @@ def _first_pass(n: int, percent: int):
         step = (1 << SKETCH_BITS) // SKETCH_BLOCKS
         for b in range(SKETCH_BLOCKS):
             part = sketch[b * step : (b + 1) * step]
+            if np.count_nonzero(part) * 8 > step:  # a byte for each cell; below, what is over
+                yield table_batch(_MEMBERS, doc_id=[None], **{"class": [None]}, n=[None], block=[b], cells=[None], counts=[np.minimum(part, 255).astype(np.uint8).tobytes()])
+                part = part - np.minimum(part, 255)
             cells = np.flatnonzero(part)
             if len(cells):
-                yield table_batch(_MEMBERS, doc_id=[None], **{"class": [None]}, n=[None], block=[b], cells=[cells.astype(np.uint32).tobytes()], counts=[np.minimum(part[cells], 65535).astype(np.uint16).tobytes()])
+                yield table_batch(_MEMBERS, doc_id=[None], **{"class": [None]}, n=[None], block=[b], cells=[cells.astype(np.uint32).tobytes()], counts=[part[cells].tobytes()])
 
     return run
 
@@ -122,7 +127,10 @@ def _first_pass(n: int, percent: int):
 def _sum_sketch(table: pa.Table) -> pa.Table:
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.int64)
     for cells, counts in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        total[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.uint16)
+        if cells is None:
+            total += np.frombuffer(counts, np.uint8)
+        else:
+            total[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.uint32)
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "cells": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
@@ -133,16 +141,20 @@ def _levels(sketched: DataFrame) -> tuple[np.ndarray, float]:
     for row in sketched.groupBy("block").applyInArrow(_sum_sketch, "block int, cells binary").toLocalIterator():
         total[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(bytes(row["cells"]), np.uint32)
     mean = float(total.mean())
-    level = np.floor(np.log2(1 + total / (4 * mean + 16))).astype(np.uint8)
+    noise = mean**0.5 + 4
+    level = np.floor(np.log2(1 + np.maximum(0, total - mean - 4 * noise) / noise)).astype(np.uint8)
     low = total[level == 0].astype(np.float64)
     extra = max(0.0, float((low * low).sum() - low.sum() ** 2 / max(1, len(low))) / max(1.0, float(low.sum())) - 1)
     return level, 1 + extra
 
 
 def small_size(histogram: dict[int, int], mean_list: float, percent: int) -> int:
-    """The boundary: sets of at most this size enumerate pairs.  histogram: sets by size."""
+    """The boundary: sets of at most this size enumerate pairs.  histogram: sets by size.
+
+    A key costs its way through the shuffle; an entry that is read on an inverted list costs LOOK of that.
+    """
     best, best_cost, small, large = 0, None, 0.0, 0.0
-    scan = {n: c * (n - int(least_overlap(np.int64(n), percent)) + 1) * mean_list for n, c in histogram.items()}
+    scan = {n: c * (n - int(least_overlap(np.int64(n), percent)) + 1) * (1 + LOOK * mean_list) for n, c in histogram.items()}
     large = sum(scan.values())
     sizes = sorted(histogram)
     for n in [0, *sizes]:
@@ -159,19 +171,22 @@ def small_size(histogram: dict[int, int], mean_list: float, percent: int) -> int
 
 
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("posts", pa.binary())])
-_POST = np.dtype([("key", "<u8"), ("class", "<i8"), ("n", "<u4")])
+#: 32 bits part the keys of a bucket of a million; two that meet make one longer list, which loses nothing.
+_POST = np.dtype([("key", "<u4"), ("class", "<i8")])
 
 
 def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
-    """Postings (key, class, size) of each class once a task, as one blob a bucket."""
+    """Postings (key, class) of each class once a task, as one blob a bucket."""
 
     def run(batches):
         memory, seen, held, size = WordHashes(), set(), [], 0
         levels = level.value
 
         def flush():
-            posts = np.concatenate(held)
-            bucket = (mixed(posts["key"]) % np.uint64(buckets)).astype(np.int32)
+            key = mixed(np.concatenate([k for k, _ in held]))
+            bucket = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+            posts = np.empty(len(key), _POST)
+            posts["key"], posts["class"] = key >> np.uint64(32), np.repeat([c for _, c in held], [len(k) for k, _ in held])
             order = np.argsort(bucket, kind="stable")
             posts, bucket = posts[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -200,9 +215,7 @@ def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
                     p = m - t + 1
                     got.append(np.partition(keys, p - 1)[:p] if p < m else keys)
                 for k in got:
-                    posts = np.empty(len(k), _POST)
-                    posts["key"], posts["class"], posts["n"] = k, c, m
-                    held.append(posts)
+                    held.append((k, c))
                     size += len(k)
                 if size >= 1_000_000:
                     yield flush()
@@ -213,7 +226,7 @@ def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
     return run
 
 
-_LISTS = "list long, class long, n long"
+_LISTS = "list long, class long"
 
 
 def _lists(table: pa.Table) -> pa.Table:
@@ -232,7 +245,7 @@ def _lists(table: pa.Table) -> pa.Table:
     keep = np.zeros(len(first), bool)
     keep[chosen] = True
     rows = np.repeat(keep, length)
-    return pa.table({"list": pa.array((np.repeat(names, length)[rows] >> np.uint64(1)).astype(np.int64)), "class": pa.array(posts["class"][rows].astype(np.int64)), "n": pa.array(posts["n"][rows].astype(np.int64))})
+    return pa.table({"list": pa.array((np.repeat(names, length)[rows] >> np.uint64(1)).astype(np.int64)), "class": pa.array(posts["class"][rows].astype(np.int64))})
 
 
 _SETS = pa.schema([("class", pa.int64()), ("grams", pa.binary()), ("cells", pa.binary())])
@@ -360,7 +373,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     buckets = max(12, int(total // 1_000_000) + 1)
     level = sc.broadcast(levels)
     posts = docs.mapInArrow(_second_pass(n, percent, level, boundary, buckets), "bucket int, posts binary")
-    lists = staged(posts.groupBy("bucket").applyInArrow(_lists, _LISTS))
+    lists = staged(posts.groupBy("bucket").applyInArrow(_lists, _LISTS).join(classes.select("class", "n"), "class"))
 
     # One hub a list: the member whose tokens are most often shared.
     share = lists.groupBy("class").agg((F.count("*") / F.min("n")).alias("share"))
