@@ -1,12 +1,17 @@
-"""The queries opN_<name> over the standard tables, and their SQL where SQL expresses them."""
+"""The queries opN_<name> over the standard tables, and their SQL where SQL expresses them.
+
+Each applies its operator with production parameters to the whole table and
+derives the digest columns of its contract from the operator's output.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfield.llm.common import read_table
+from nearfield.llm.common import crc_fold, read_table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +20,81 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(read_table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm import langid
+    from nearfield.llm.tokens import tokenizer_path
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 3) == 1
+    model = langid.train(docs, ~held_out, langid.vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.lm import lm_scores
+
+    return lm_scores(read_table(spark, sf_dir, "documents"), "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 <> 0")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.decontam import contamination
+
+    found = contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    from nearfield.llm import spans as S
+
+    counts = [S.counted(F.col("base"), k).alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(S.listed(F.col("base")), 256).alias("base_sha256"), S.listed(F.col("spans")).alias("spans"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.pii import KINDS, find_pii
+
+    return _span_digest(find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")), KINDS)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm import toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_fold("doc_id", 5) == 0
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.tokens import token_counts, tokenizer_path
+
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.ann import search
+
+    return search(read_table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.secrets import KINDS, find_secrets
+
+    return _span_digest(find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")), KINDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
+    f.__name__: f
+    for f in (op1_ngram_jaccard, op2_language_id, op3_lm_scores, op4_decontaminate, op5_personal_data, op6_toxicity, op7_mix_sources, op8_token_counts, op9_multi_index, op10_secrets)
 }
 
 ORACLES: dict[str, str] = {}
