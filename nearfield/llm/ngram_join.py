@@ -306,7 +306,8 @@ def _verified(percent: int):
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
+    # A class may come from several of its documents, so the same pair may come again.
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long").distinct()
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -389,7 +390,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         bits[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(bytes(row["bits"]), np.uint8)
     picked = sc.broadcast(bits)
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << PICK_BITS)).alias("bit")
-    sets = staged(docs.select("text", bit).mapInArrow(_picked_sets(n, picked), "class long, grams binary, cells binary").dropDuplicates(["class"]))
+    sets = staged(docs.select("text", bit).mapInArrow(_picked_sets(n, picked), "class long, grams binary, cells binary"))
     edges = staged(_exact(star, sets, percent))
 
     labels = components(edges)
