@@ -32,7 +32,11 @@ STEP = 0.25
 
 
 def battery(value: Column) -> Column:
-    """The combined z of the three tests: above 0 the more, the less ``value`` looks like an ordinary string."""
+    """The combined z of the three tests: above 0 the more, the less ``value`` looks like an ordinary string.
+
+    Marks that part words are left out, so that they do not count as changes of class.
+    """
+    value = F.regexp_replace(value, "[^A-Za-z0-9]", "")
     n = F.char_length(value).cast("double")
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c).cast("double"))
     counts = F.transform(F.array_distinct(F.split(value, "")), lambda c: n - F.char_length(F.replace(value, c, F.lit(""))))
@@ -40,7 +44,7 @@ def battery(value: Column) -> Column:
     pairs = n * (n - 1) / 2
     # Chi-squared for k letters is k * squares / n - n: k falls out of the comparison with the ordinary repeat rate.
     uniform = (pairs * ORDINARY_REPEAT - (squares - n) / 2) / F.sqrt(pairs * ORDINARY_REPEAT * (1 - ORDINARY_REPEAT))
-    runs = F.char_length(F.regexp_replace(value, "[a-z]++|[A-Z]++|[0-9]++|[^A-Za-z0-9]++", "x")).cast("double")
+    runs = F.char_length(F.regexp_replace(value, "[a-z]++|[A-Z]++|[0-9]++", "x")).cast("double")
     changing = (runs - 1 - (n - 1) * ORDINARY_RUNS) / F.sqrt((n - 1) * ORDINARY_RUNS * (1 - ORDINARY_RUNS))
     mean = F.aggregate(codes, F.lit(0.0), lambda t, c: t + c) / n
     spread = F.aggregate(codes, F.lit(0.0), lambda t, c: t + (c - mean) * (c - mean))
@@ -58,7 +62,7 @@ def stratum(value: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Runs of key characters with digits and letters: spans with value."""
-    mixed = lambda v: v.rlike("[0-9].*[0-9]") & v.rlike("[A-Za-z]")
+    mixed = lambda v: v.rlike("[0-9].*[0-9]") & v.rlike("(?:[A-Za-z0-9][^A-Za-z0-9]*+){16}") & v.rlike("[A-Za-z]")
     return F.coalesce(F.when(text.rlike(CANDIDATE), S.matches(text, CANDIDATE, mixed)), S.none())
 
 
