@@ -1,6 +1,328 @@
-"""Queries of the vector engine over the standard tables."""
+"""Queries of the vector engine over the standard tables, each with the SQL it must equal.
+
+Rows of ``embeddings`` whose vec_id is divisible by ten are queries, the others data.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions.families import CrossPolytope, JL, MinHash, OneBitMinHash, SimHash, with_hash
+from nearfield.operators import evaluate as E
+from nearfield.operators import preprocess as P
+from nearfield.operators import search as S
+from nearfield.operators.split import hold_out
+from nearfield.operators.topk import nearest
+from nearfield.plans import experiments as X
+from nearfield.plans import oracle as O
+from nearfield.plans import theory as T
+
+DIM, K, C = 64, 10, 100
+SIMHASH = SimHash(DIM, groups=4)
+PROJECTION = JL(DIM, groups=16)
+KEYS = SimHash(DIM, groups=8, bits=4, seed=7)
+CROSS = CrossPolytope(DIM, groups=4)
+#: Bounds of the components of ``embeddings`` after preparation; the queries derive them, the SQL states them.
+ONES = [1] * DIM
+
+
+def minhash(bounds) -> MinHash:
+    return MinHash(bounds, groups=16)
+
+
+def one_bit(bounds) -> OneBitMinHash:
+    return OneBitMinHash(bounds, groups=2)
+
+
+def minhash_keys(bounds) -> MinHash:
+    return MinHash(bounds, groups=8, seed=8)
+
+
+def one_bit_keys(bounds) -> OneBitMinHash:
+    return OneBitMinHash(bounds, groups=8, seed=9, bits=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v)"""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = vectors(spark, sf_dir)
+    return e.where("id % 10 <> 0"), e.where("id % 10 = 0")
+
+
+def register(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.withColumn("dist", F.round("dist", 6) + F.lit(0.0))
+
+
+def sql_of(parts: tuple[str, str], select: str | None = None) -> str:
+    return f"WITH {parts[0]} {select or O.rounded(parts[1])}"
+
+
+# --- exact neighbours
+
+for _metric in ("cosine", "neg_cosine", "angular", "euclidean", "gen_jaccard"):
+    register(f"knn_{_metric}", sql_of(O.exact(_metric, K)))(lambda s, d, m=_metric: shown(S.exact_knn(*split(s, d), K, m)))
+
+register("knn_columns", sql_of(O.exact("cosine", K)))(lambda s, d: shown(S.exact_knn_columns(*split(s, d), K, "cosine")))
+
+
+# --- preparation
+
+register("dim_min_shift", f"WITH {O.VECTORS} SELECT (pos - 1)::INTEGER AS pos, least(0, min(floor(x)))::BIGINT AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY pos")(
+    lambda s, d: P.dim_mins(*split(s, d))
+)
+_COMPONENTS = "SELECT id, (pos - 1)::INTEGER AS pos, round(x, 6) + 0.0 AS x FROM (SELECT id, unnest({v}) AS x, generate_subscripts(v, 1) AS pos FROM {t})"
+
+
+def _components(t: DataFrame) -> DataFrame:
+    return t.select("id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6) + F.lit(0.0))
+
+
+register("shifted_vectors", f"WITH {O.READY} " + _COMPONENTS.format(v="v", t="moved"))(lambda s, d: _components((lambda a, b: a.unionByName(b))(*P.non_negative(*split(s, d)))))
+register("unit_normalize", f"WITH {O.VECTORS} " + _COMPONENTS.format(v="list_transform(v, lambda y: y / sqrt(list_inner_product(v, v)))", t="e"))(lambda s, d: _components(P.unit_vectors(vectors(s, d))))
+_BOUNDS = "SELECT (pos - 1)::INTEGER AS pos, greatest(0, max(ceil(x)))::BIGINT AS bound FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u) GROUP BY pos"
+register("dim_bounds", f"WITH {O.READY} {_BOUNDS}")(lambda s, d: P.dim_bounds(*P.jaccard_ready(*split(s, d))))
+register("index_map", f"WITH {O.READY} SELECT pos, bound, coalesce(sum(bound) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot FROM ({_BOUNDS})")(
+    lambda s, d: P.index_map(P.dim_bounds(*P.jaccard_ready(*split(s, d))))
+)
+
+
+# --- sketches
+
+
+def _outputs(hashed: DataFrame, name: str = "sketch") -> DataFrame:
+    return hashed.select("id", F.posexplode(name).alias("pos", "value"))
+
+
+_OUTPUTS = "SELECT id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS value FROM hs"
+
+
+def _ready(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[int]]:
+    return P.minhash_ready(*split(s, d))
+
+
+def _all_ready(s: SparkSession, d: str, make) -> tuple[DataFrame, object]:
+    data, queries, bounds = _ready(s, d)
+    return data.unionByName(queries), make(bounds)
+
+
+register("simhash_sketch", f"WITH {O.VECTORS}, {O.hashed(SIMHASH, 'e', 'hs')} {_OUTPUTS}")(lambda s, d: _outputs(with_hash(vectors(s, d), SIMHASH, "sketch")))
+register("jl_sketch", f"WITH {O.VECTORS}, {O.hashed(PROJECTION, 'e', 'hs')} SELECT id, pos, round(value, 6) + 0.0 AS value FROM ({_OUTPUTS})")(
+    lambda s, d: _outputs(with_hash(vectors(s, d), PROJECTION, "sketch")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+)
+register("minhash_sketch", f"WITH {O.READY}, {O.hashed(minhash(ONES), 'u', 'hs')} {_OUTPUTS}")(lambda s, d: _outputs(with_hash(*_all_ready(s, d, minhash), "sketch")))
+register("onebit_minhash_sketch", f"WITH {O.READY}, {O.hashed(one_bit(ONES), 'u', 'hs')} {_OUTPUTS}")(lambda s, d: _outputs(with_hash(*_all_ready(s, d, one_bit), "sketch")))
+register("crosspolytope_key", f"WITH {O.VECTORS}, {O.hashed(CROSS, 'e', 'hs')} {_OUTPUTS}")(lambda s, d: _outputs(with_hash(vectors(s, d), CROSS, "sketch")))
+
+
+# --- neighbours by sketch
+
+
+def _sketch(name: str, family, make=None):
+    def top(s, d):
+        data, queries, bounds = _ready(s, d) if make else (*split(s, d), None)
+        return shown(S.sketch_candidates(data, queries, make(bounds) if make else family, C))
+
+    def knn(s, d):
+        data, queries, bounds = _ready(s, d) if make else (*split(s, d), None)
+        return shown(S.sketch_knn(data, queries, make(bounds) if make else family, K, C))
+
+    register(f"{name}_topc", sql_of(O.sketch_top(family, C)))(top)
+    register(f"{'simhash' if name == 'hamming' else 'onebit_minhash' if name == 'onebit' else name}_knn", sql_of(O.sketch_search(family, K, C)))(knn)
+
+
+_sketch("hamming", SIMHASH)
+_sketch("jl", PROJECTION)
+_sketch("minhash", minhash(ONES), minhash)
+_sketch("onebit", one_bit(ONES), one_bit)
+
+
+# --- hash tables
+
+
+def _index(s: SparkSession, d: str) -> tuple[S.LshIndex, DataFrame, DataFrame]:
+    data, queries = split(s, d)
+    return S.LshIndex(KEYS).build(data), data, queries
+
+
+_DATA = "SELECT table_id, bucket_key, count(*) AS n FROM idx WHERE id % 10 <> 0 GROUP BY ALL"
+register("lsh_bucket_counts", f"WITH {O.lsh(KEYS)} {_DATA}")(lambda s, d: _index(s, d)[0].counts())
+register(
+    "lsh_bucket_offsets",
+    f'WITH {O.lsh(KEYS)} SELECT table_id, bucket_key, n, coalesce(sum(n) OVER (PARTITION BY table_id ORDER BY bucket_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM ({_DATA})',
+)(lambda s, d: _index(s, d)[0].offsets())
+register("lsh_bucket_members", f"WITH {O.lsh(KEYS)} SELECT table_id, bucket_key, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM idx WHERE id % 10 <> 0 GROUP BY table_id, bucket_key")(
+    lambda s, d: _index(s, d)[0].members().withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+)
+register("lsh_candidates", f"WITH {O.lsh(KEYS)} SELECT q_id, d_id FROM cand")(lambda s, d: (lambda i, _, q: i.candidates(q))(*_index(s, d)))
+
+
+def _lsh(name: str, family, make=None, sketch=None):
+    def run(s, d):
+        data, queries, bounds = _ready(s, d) if make else (*split(s, d), None)
+        return shown(S.LshIndex(make(bounds) if make else family).build(data).query(data, queries, K, sketch=sketch, candidates=C))
+
+    register(name, sql_of(O.lsh_search(family, K, sketch, C)))(run)
+
+
+_lsh("lsh_simhash_knn", KEYS)
+_lsh("lsh_minhash_knn", minhash_keys(ONES), minhash_keys)
+_lsh("lsh_onebit_knn", one_bit_keys(ONES), one_bit_keys)
+_lsh("lsh_crosspolytope_knn", CROSS)
+_lsh("lsh_simhash_sketched_knn", KEYS, sketch=SIMHASH)
+
+
+# --- evaluation
+
+
+def _judged(kind: str):
+    def run(s, d):
+        data, queries = split(s, d)
+        truth = S.exact_knn(data, queries, K, "cosine")
+        if kind == "lsh":
+            return E.recall(truth, S.LshIndex(KEYS).build(data).query(data, queries, K), K).select(F.round("recall", 6).alias("recall"))
+        found = S.sketch_knn(data, queries, SIMHASH, K, C)
+        if kind == "sketch":
+            return E.recall(truth, found, K).select(F.round("recall", 6).alias("recall"))
+        if kind == "ratio":
+            return E.distance_ratio(truth, found, K).select(F.round("ratio", 6).alias("ratio"))
+        return E.recall_of_large_truth(S.exact_knn(data, queries, 4 * K, "cosine"), found, K).select(F.round("recall", 6).alias("recall"))
+
+    return run
+
+
+def _judge_sql(parts: tuple[str, str], select: str) -> str:
+    return f"WITH {parts[0]}, truth AS ({O.exact('cosine', K)[1]}), res AS ({parts[1]}) {select}"
+
+
+_RECALL = f"SELECT round(avg(n / {K}::DOUBLE), 6) AS recall FROM (SELECT t.q_id, count(r.d_id) AS n FROM truth t LEFT JOIN res r ON r.q_id = t.q_id AND r.d_id = t.d_id GROUP BY t.q_id)"
+register("recall_sketch", _judge_sql(O.sketch_search(SIMHASH, K, C), _RECALL))(_judged("sketch"))
+register("recall_lsh", _judge_sql(O.lsh_search(KEYS, K), _RECALL))(_judged("lsh"))
+register("distance_ratio", _judge_sql(O.sketch_search(SIMHASH, K, C), "SELECT round(avg(r / t), 6) AS ratio FROM (SELECT q_id, sum(dist) AS t FROM truth GROUP BY q_id) JOIN (SELECT q_id, sum(dist) AS r FROM res GROUP BY q_id) USING (q_id)"))(_judged("ratio"))
+register("recall_large_truth", _judge_sql(O.sketch_search(SIMHASH, K, C), f"SELECT round(count(r.d_id) / (count(DISTINCT t.q_id) * {K})::DOUBLE, 6) AS recall FROM truth t LEFT JOIN res r ON r.q_id = t.q_id AND r.d_id = t.d_id"))(_judged("large"))
+
+
+# --- statistics
+
+register("hash_value_histogram", f"WITH {O.READY}, {O.hashed(minhash(ONES), 'u', 'hs')} SELECT value, count(*) AS n FROM ({_OUTPUTS}) GROUP BY value")(lambda s, d: E.hash_histogram(with_hash(*_all_ready(s, d, minhash), "sketch")))
+_SHORT = MinHash(ONES, groups=2, seed=10)
+register(
+    "full_key_histogram",
+    f"WITH {O.READY}, {O.hashed(_SHORT, 'u', 'hs')} SELECT lpad(bin(s[1]), 8, '0') || lpad(bin(s[2]), 8, '0') AS full_key, count(*) AS n FROM hs GROUP BY full_key",
+)(lambda s, d: E.key_histogram(with_hash(*_all_ready(s, d, lambda b: MinHash(b, groups=2, seed=10)), "sketch")))
+register(
+    "distance_histogram",
+    f"WITH {O.VECTORS}, dd AS (SELECT round(dist, 6) AS dist FROM ({O.exact('cosine', C)[1]})), r AS (SELECT min(dist) AS lo, max(dist) AS hi FROM dd) SELECT least(floor((dist - lo) / (hi - lo) * 80) + 1, 80)::INTEGER AS bin, count(*) AS n FROM dd, r GROUP BY bin",
+)(lambda s, d: E.distance_histogram(nearest(*split(s, d), C, "cosine").select(F.round("dist", 6).alias("dist"))))
+
+
+# --- analytics of experiment records
+
+_RECORDS = "x AS (SELECT * FROM (VALUES {}) t({}))".format(
+    ", ".join(f"({', '.join(f'{v}::DOUBLE' if i > 10 else v for i, v in enumerate(line.split(',')))})" for line in X.PUBLISHED),
+    ", ".join(f'"{f.split()[0]}"' for f in X.FIELDS.split(", ")[:-1]),
+)
+_N = 10_000
+_QPS = f'round({_N}::DOUBLE / ("scanTime" / 1000::DOUBLE), 6)'
+
+
+def _rounded(t: DataFrame, column: str) -> DataFrame:
+    return t.withColumn(column, F.round(column, 6))
+
+
+register("exp_qps", f'WITH {_RECORDS} SELECT implementation, "sketchDim", {_QPS} AS qps FROM x')(lambda s, d: _rounded(X.with_qps(X.published(s), _N).select("implementation", "sketchDim", "qps"), "qps"))
+register("exp_key_bits", f'WITH {_RECORDS} SELECT implementation AS "keyImplementation", "sketchDim" * CASE implementation WHEN 4 THEN 8 ELSE 16 END AS "bucketKeyBits" FROM x WHERE implementation IN (3, 4, 5, 7)')(
+    lambda s, d: X.key_bits(X.published(s).withColumns({"keyImplementation": F.col("implementation"), "bucketKeyBits": F.col("sketchDim")})).select("keyImplementation", "bucketKeyBits")
+)
+register("exp_sketch_bits", f'WITH {_RECORDS} SELECT implementation, "sketchDim" * CASE implementation WHEN 2 THEN 1 ELSE 32 END AS "sketchDim", recall FROM x WHERE implementation IN (2, 3, 5)')(
+    lambda s, d: X.sketch_bits(X.published(s)).select("implementation", "sketchDim", "recall")
+)
+_SERIES = 'implementation IN (3, 4, 5) AND k = 1024 AND "THREAD_QUEUE_SIZE" IN (64, 128)'
+register("exp_recall_vs_time", f'WITH {_RECORDS} SELECT implementation, "THREAD_QUEUE_SIZE", recall, {_QPS} AS qps FROM x WHERE {_SERIES}')(lambda s, d: _rounded(X.recall_vs_time(X.published(s), _N, 1024), "qps"))
+register("exp_recall_vs_bits", f'WITH {_RECORDS} SELECT implementation, "THREAD_QUEUE_SIZE", "sketchDim" * CASE implementation WHEN 4 THEN 8 ELSE 32 END AS bits, recall FROM x WHERE {_SERIES}')(lambda s, d: X.recall_vs_bits(X.published(s), 1024))
+register("exp_ratio_vs_time", f'WITH {_RECORDS} SELECT implementation, "THREAD_QUEUE_SIZE", "avgDistance", {_QPS} AS qps FROM x WHERE {_SERIES} AND "WITH_TQ_OR_BUFFER" = 0 AND "sketchDim" < 1056')(
+    lambda s, d: _rounded(X.ratio_vs_time(X.published(s), _N, 1024), "qps")
+)
+
+
+def _as_scans(s: SparkSession) -> DataFrame:
+    """The published records as if of exact scans, so that the series of those has rows."""
+    return X.published(s).withColumns({"implementation": F.lit(2), "WITH_TQ_OR_BUFFER": (F.col("sketchDim") / 4).cast("int") % 2})
+
+
+def _as_tables(s: SparkSession) -> DataFrame:
+    """The published records as if of hash tables."""
+    return X.published(s).withColumns({"keyImplementation": F.col("implementation"), "implementation": F.lit(2), "THREAD_QUEUE_SIZE": F.lit(128), "tables": F.col("sketchDim") % 5, "bucketKeyBits": F.col("sketchDim")})
+
+
+register("exp_buffer_vs_sort", f'WITH {_RECORDS} SELECT CASE WHEN ("sketchDim" // 4) % 2 = 0 THEN \'buffer\' ELSE \'sort\' END AS mode, "THREAD_QUEUE_SIZE", {_QPS} AS qps FROM x')(lambda s, d: _rounded(X.buffer_vs_sort(_as_scans(s), _N, 1024), "qps"))
+register("exp_lsh_recall_vs_time", f'WITH {_RECORDS} SELECT 2 AS implementation, implementation AS "keyImplementation", "sketchDim" % 5 AS tables, recall, {_QPS} AS qps FROM x')(lambda s, d: _rounded(X.lsh_recall_vs_time(_as_tables(s), _N, 1024), "qps"))
+register("exp_lsh_bits_vs_recall", f'WITH {_RECORDS} SELECT 2 AS implementation, implementation AS "keyImplementation", "sketchDim" % 5 AS tables, "sketchDim" AS "bucketKeyBits", recall FROM x')(lambda s, d: X.lsh_bits_vs_recall(_as_tables(s), 1024))
+register("exp_outlier_filter", f'WITH {_RECORDS} SELECT implementation, "sketchDim", "scanTime"::BIGINT AS "scanTime" FROM x WHERE "scanTime" < 20000')(lambda s, d: X.without_outliers(X.published(s)).select("implementation", "sketchDim", "scanTime"))
+
+
+# --- theory
+
+register("theory_rho", "SELECT c, round(1 / (2 * c * c - 1), 6) AS rho FROM (SELECT round(1 + i * 0.05::DOUBLE, 6) AS c FROM range(41) t(i))")(lambda s, d: _rounded(T.rho(s), "rho"))
+_PMF = "round(exp(lgamma(65) - lgamma(i + 1) - lgamma(64 - i + 1) + i * ln({p}) + (64 - i) * ln(1 - {p})), 6)"
+register("theory_binomial", "SELECT i AS n, {} AS close, {} AS far FROM range(65) t(i)".format(_PMF.format(p="(30::DOUBLE / 180)"), _PMF.format(p="(60::DOUBLE / 180)")))(lambda s, d: _rounded(_rounded(T.differing_bits(s, 64, 30.0, 2.0), "close"), "far"))
+
+
+# --- hold-out and file formats
+
+_KEY = "((id % 1000003) * 7919 + 104729) % 1000003 * 31 + id % 31"
+register(
+    "holdout_split",
+    f"WITH {O.VECTORS}, c AS (SELECT id FROM e ORDER BY {_KEY}, id LIMIT 50) SELECT side, row_number() OVER (PARTITION BY side ORDER BY id) - 1 AS id, round(v[1], 6) AS x FROM (SELECT *, CASE WHEN id IN (SELECT id FROM c) THEN 'query' ELSE 'data' END AS side FROM e)",
+)(
+    lambda s, d: (lambda a, b: a.withColumn("side", F.lit("data")).unionByName(b.withColumn("side", F.lit("query"))))(*hold_out(vectors(s, d), 50)).select("side", "id", F.round(F.element_at("v", 1), 6).alias("x"))
+)
+
+
+def _text_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    from nearfield.sources.scratch import scratch_dir
+    from nearfield.sources.vector_text import read_vectors, write_vectors
+
+    write_vectors(vectors(s, d), path := scratch_dir(s))
+    return _components(read_vectors(s, path))
+
+
+def _fvecs_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    from nearfield.sources.fvecs import read_fvecs, write_fvecs
+    from nearfield.sources.scratch import scratch_dir
+
+    write_fvecs(vectors(s, d), path := scratch_dir(s) + "/all.fvecs")
+    return _components(read_fvecs(s, path))
+
+
+def _truth_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    from nearfield.sources.neighbours_text import read_neighbours, write_neighbours
+    from nearfield.sources.scratch import scratch_dir
+
+    write_neighbours(S.exact_knn(*split(s, d), K, "cosine"), path := scratch_dir(s))
+    return shown(read_neighbours(s, path))
+
+
+_DENSE = "(SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM e)"
+register("text_roundtrip", f"WITH {O.VECTORS} " + _COMPONENTS.format(v="v", t=_DENSE))(_text_roundtrip)
+register("fvecs_roundtrip", f"WITH {O.VECTORS} " + _COMPONENTS.format(v="v", t=_DENSE))(_fvecs_roundtrip)
+register("truth_roundtrip", sql_of(O.exact("cosine", K)))(_truth_roundtrip)
