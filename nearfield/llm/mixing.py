@@ -55,7 +55,7 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = (3, 1, 2)
     size: words of the text (null: 0); target: words that the row's source
     should give; taken: words of this row in the mix, repeats counted (0, once or
     twice its size).  A null source is a source of its own, last in order.
-    Reruns agree: keys depend on doc_id and seed alone; rows with equal doc_id are
+    Reruns agree: keys depend on doc_id, quality and seed alone; rows with equal doc_id are
     ordered by size, and equal rows are alike.  Sources without words have target 0.
     quality: a positive weight; by default from the words' mean length.
     """
@@ -92,5 +92,6 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = (3, 1, 2)
 
 
 def _unit(column: str, seed: int) -> Column:
-    """A number in (0, 1) drawn by the column's hash."""
-    return (F.xxhash64(F.col(column), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
+    """A number in (0, 1) drawn by the column's MD5: its first 13 hexadecimal digits."""
+    text = F.concat(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)

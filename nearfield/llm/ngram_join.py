@@ -39,6 +39,8 @@ SKETCH_BLOCKS = 16
 PICK_BITS = 25
 #: Members of a list that one task compares with as many others.
 BLOCK = 2048
+#: Ids up to this number are broadcast to leave out sets that no pair names; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 FLUSH_WORDS = 400_000
 #: Cost of reading an entry of an inverted list, against that of sending one.
 LOOK = 0.05
@@ -226,11 +228,11 @@ def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
     return run
 
 
-_LISTS = "list long, class long"
+_LISTS = "list long, class long, weight long"
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The lists of a bucket that have two members at least; equal lists once."""
+    """The lists of a bucket that have two members at least; equal lists once, with their number as weight."""
     posts = np.concatenate([np.frombuffer(x, _POST) for x in table.column("posts").to_pylist()])
     posts = np.sort(posts, order=["key", "class"])
     new = np.concatenate(([True], (posts["key"][1:] != posts["key"][:-1]) | (posts["class"][1:] != posts["class"][:-1])))
@@ -240,12 +242,11 @@ def _lists(table: pa.Table) -> pa.Table:
     spread = mixed(posts["class"].astype(np.uint64))
     names = mixed(np.add.reduceat(spread, first) + length.astype(np.uint64))
     many = length > 1
-    _, once = np.unique(names[many], return_index=True)
-    chosen = np.flatnonzero(many)[once]
-    keep = np.zeros(len(first), bool)
-    keep[chosen] = True
-    rows = np.repeat(keep, length)
-    return pa.table({"list": pa.array((np.repeat(names, length)[rows] >> np.uint64(1)).astype(np.int64)), "class": pa.array(posts["class"][rows].astype(np.int64))})
+    _, once, equal = np.unique(names[many], return_index=True, return_counts=True)
+    weight = np.zeros(len(first), np.int64)
+    weight[np.flatnonzero(many)[once]] = equal
+    rows = np.repeat(weight > 0, length)
+    return pa.table({"list": pa.array((np.repeat(names, length)[rows] >> np.uint64(1)).astype(np.int64)), "class": pa.array(posts["class"][rows].astype(np.int64)), "weight": pa.array(np.repeat(weight, length)[rows])})
 
 
 _SETS = pa.schema([("class", pa.int64()), ("grams", pa.binary()), ("cells", pa.binary())])
@@ -304,6 +305,10 @@ def _verified(percent: int):
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    if 2 * pairs.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    sets = sets.join(ids, "class", "left_semi")
     one = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
     # A class may come from several of its documents, so the same pair may come again.
@@ -348,10 +353,11 @@ def _unpruned(percent: int):
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for each row of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, tested_links) for each row of ``docs(doc_id, text)``.
 
-    n_links: other documents of the same set class, plus the *tested* links of
-    its class to other classes (at least one for each class that is linked).
+    tested_links: other documents of the same set class, plus the links of its
+    class to other classes as far as they were tested: enough to connect whatever
+    is linked; links inside what is already connected are not counted.
     A text that is null or has no words has an empty set, no links and its own
     id as component.  Repeated rows are rows of one class.  Rows whose doc_id is
     null are kept; a component's id is its smallest doc_id that is not null.
@@ -366,7 +372,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # Sizes above 2,000 always scan lists; one row of this table a size at most.
     sizes = {r["n"]: r["c"] for r in members.where("n > 0").groupBy(F.least("n", F.lit(2001)).alias("n")).agg(F.count("*").alias("c")).collect()}
     if not sizes:
-        return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("tested_links"))
     levels, mean_list = _levels(first.where("block is not null").select("block", "cells", "counts"))
     sizes.pop(2001, 0)
     boundary = small_size(sizes, mean_list, percent)
@@ -374,14 +380,17 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     buckets = max(12, int(total // 1_000_000) + 1)
     level = sc.broadcast(levels)
     posts = docs.mapInArrow(_second_pass(n, percent, level, boundary, buckets), "bucket int, posts binary")
-    lists = staged(posts.groupBy("bucket").applyInArrow(_lists, _LISTS).join(classes.select("class", "n"), "class"))
+    lists = posts.groupBy("bucket").applyInArrow(_lists, _LISTS).groupBy("list", "class").agg(F.sum("weight").alias("weight"))
+    lists = staged(lists.join(classes.select("class", "n"), "class"))
 
-    # One hub a list: the member whose tokens are most often shared.
-    share = lists.groupBy("class").agg((F.count("*") / F.min("n")).alias("share"))
+    # One hub a list: the member whose tokens are most often shared.  Only pairs that share a good
+    # part of a prefix are worth a test; where that misses a link, the comparison in blocks finds it.
+    share = lists.groupBy("class").agg((F.sum("weight") / F.min("n")).alias("share"))
     scored = lists.join(share, "class")
     hub = scored.groupBy("list").agg(F.max(F.struct("share", F.expr("-class").alias("neg"), "n")).alias("h")).select("list", F.expr("-h.neg").alias("hub"), F.col("h.n").alias("hub_n"))
     ratio = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) AND class <> hub")
-    star = lists.join(hub, "list").where(ratio).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    star = lists.join(hub, "list").where(ratio).groupBy(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+    star = staged(star.agg(F.sum("weight").alias("shared"), F.min(F.least("n", "hub_n")).alias("n")).where(F.col("shared") * 400 >= F.col("n") * (100 - percent)).select("a", "b"))
 
     wanted = lists.select("class").distinct().join(classes, "class").select(F.pmod(F.xxhash64("least"), F.lit(1 << PICK_BITS)).alias("bit")).distinct()
     bits = np.zeros(1 << (PICK_BITS - 3), np.uint8)
@@ -408,7 +417,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = every.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     named = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "class"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "comp").join(links, "class", "left").select("class", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = named.join(least, "comp").join(links, "class", "left").select("class", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("tested_links"))
     return members.join(named, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("tested_links", F.lit(0)).cast("long").alias("tested_links")
     )
