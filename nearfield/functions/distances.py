@@ -92,5 +92,30 @@ KERNELS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "one_bit": lambda q, x: _np_differing(q, x) / (q.shape[1] * WORD_BITS),
     "match": _np_match,
 }
+
+
+def _row_cos(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(length > 0, (x * q).sum(1) / length, np.nan)
+
+
+def _row_jaccard(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    high = np.maximum(x, q).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(high != 0, 1 - np.minimum(x, q).sum(1) / high, np.nan)
+
+
+#: One query against rows, summed row by row: equal rows get equal distances, whatever block they come in.
+ROWS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "cosine": lambda q, x: 1 - _row_cos(q, x),
+    "neg_cosine": lambda q, x: -_row_cos(q, x),
+    "angular": lambda q, x: np.arccos(np.clip(_row_cos(q, x), -1, 1)) / np.pi,
+    "euclidean": lambda q, x: np.sqrt(((x - q) ** 2).sum(1)),
+    "gen_jaccard": _row_jaccard,
+    "sq_euclidean": lambda q, x: ((x - q) ** 2).sum(1),
+}
+#: Kernels and row sums differ by less than this, for vectors of length one.
+SLACK = 1e-6
 #: Distances over whole numbers (sketch words and hash values).
 INTEGER = {"hamming", "one_bit", "match"}
