@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: White space of the contracts as a Java character class body.
 JAVA_SPACE = r"\x20\x09-\x0D"
 #: Words remembered per task; the memory is emptied when full, which costs time only.
-WORD_MEMORY = 300_000
+WORD_MEMORY = 200_000
 
 
 @functools.cache
@@ -40,6 +40,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch of whole texts, where the session still has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WordHashes, column_bytes, hashed_words, joined, mixed, staged, table_batch
+from nearfield.llm.common import WordHashes, column_bytes, hashed_words, joined, mixed, small_batches, staged, table_batch
 from nearfield.llm.components import components
 
 #: Cells of the count sketch that orders tokens; its levels (one byte a cell) are broadcast: 4 MB.
@@ -42,6 +42,8 @@ BLOCK = 2048
 #: Ids up to this number are broadcast to leave out sets that no pair names; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 FLUSH_WORDS = 400_000
+#: A token that so many sets may hold is heavy: its postings are not gathered in one task.
+HEAVY = 200_000
 #: Cost of reading an entry of an inverted list, against that of sending one.
 LOOK = 0.05
 
@@ -106,7 +108,7 @@ def _first_pass(n: int, percent: int):
                 out_class.append(c)
                 out_n.append(len(grams))
                 if c is not None and c not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 300_000:
                         seen.clear()
                     seen.add(c)
                     cells = (grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
@@ -136,18 +138,29 @@ def _sum_sketch(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "cells": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
-def _levels(sketched: DataFrame) -> tuple[np.ndarray, float]:
-    """A level for each cell, and the mean length of an inverted list of ordinary tokens (collision noise taken off)."""
+def _level(count: np.ndarray, mean: float) -> np.ndarray:
+    """Steps of half a standard deviation of the collision noise, further up doublings: 0 to 63.
+
+    The finer the steps, the fewer documents share their rarest tokens by a common passage alone.
+    """
+    steps = count / max(1.0, mean**0.5 / 2)
+    with np.errstate(divide="ignore"):
+        far = 40 + np.floor(np.log2(np.maximum(steps, 40) / 40) * 2)
+    return np.where(steps < 40, np.floor(steps), np.minimum(far, 63)).astype(np.uint8)
+
+
+def _levels(sketched: DataFrame) -> tuple[np.ndarray, int, float]:
+    """A level for each cell, the level from which tokens are heavy, and the mean length of an inverted list of ordinary tokens (collision noise taken off)."""
     total = np.zeros(1 << SKETCH_BITS, np.uint32)
     step = len(total) // SKETCH_BLOCKS
     for row in sketched.groupBy("block").applyInArrow(_sum_sketch, "block int, cells binary").toLocalIterator():
         total[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(bytes(row["cells"]), np.uint32)
     mean = float(total.mean())
-    noise = mean**0.5 + 4
-    level = np.floor(np.log2(1 + np.maximum(0, total - mean - 4 * noise) / noise)).astype(np.uint8)
-    low = total[level == 0].astype(np.float64)
+    level = _level(total, mean)
+    heavy = int(_level(np.array([HEAVY]), mean)[0])
+    low = total[total <= mean + 3 * mean**0.5].astype(np.float64)
     extra = max(0.0, float((low * low).sum() - low.sum() ** 2 / max(1, len(low))) / max(1.0, float(low.sum())) - 1)
-    return level, 1 + extra
+    return level, heavy, 1 + extra
 
 
 def small_size(histogram: dict[int, int], mean_list: float, percent: int) -> int:
@@ -177,18 +190,24 @@ _POSTINGS = pa.schema([("bucket", pa.int32()), ("posts", pa.binary())])
 _POST = np.dtype([("key", "<u4"), ("class", "<i8")])
 
 
-def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
-    """Postings (key, class) of each class once a task, as one blob a bucket."""
+def _second_pass(n: int, percent: int, level, heavy: int, boundary: int, buckets: int):
+    """Postings (key, class) of each class once a task, as one blob a bucket.
+
+    Light keys go to the bucket of the key; those of heavy tokens to further buckets, by class.
+    """
 
     def run(batches):
         memory, seen, held, size = WordHashes(), set(), [], 0
         levels = level.value
 
         def flush():
-            key = mixed(np.concatenate([k for k, _ in held]))
-            bucket = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+            raw = np.concatenate([k for k, *_ in held])
+            key = mixed(raw)
             posts = np.empty(len(key), _POST)
-            posts["key"], posts["class"] = key >> np.uint64(32), np.repeat([c for _, c in held], [len(k) for k, _ in held])
+            posts["key"], posts["class"] = key >> np.uint64(32), np.repeat([c for _, c, _ in held], [len(k) for k, *_ in held])
+            bucket = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+            apart = (raw >> np.uint64(58) >= np.uint64(heavy)) & np.repeat([single for *_, single in held], [len(k) for k, *_ in held])
+            bucket[apart] = buckets + (mixed(posts["class"][apart].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             posts, bucket = posts[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -200,7 +219,7 @@ def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
                 m = len(grams)
                 if not m or (c := set_class(grams)) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 seen.add(c)
                 low = levels[(grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
@@ -212,12 +231,12 @@ def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
                     head = keys[: m - t + 2]
                     if len(head) > 1:
                         i, j = np.triu_indices(len(head), 1)
-                        got.append(joined([head[i], head[j]], 2))
+                        got.append((joined([head[i], head[j]], 2), False))
                 if m > boundary or m * 100 >= percent * (boundary + 1):
                     p = m - t + 1
-                    got.append(np.partition(keys, p - 1)[:p] if p < m else keys)
-                for k in got:
-                    held.append((k, c))
+                    got.append((np.partition(keys, p - 1)[:p] if p < m else keys, True))
+                for k, single in got:
+                    held.append((k, c, single))
                     size += len(k)
                 if size >= 1_000_000:
                     yield flush()
@@ -231,22 +250,35 @@ def _second_pass(n: int, percent: int, level, boundary: int, buckets: int):
 _LISTS = "list long, class long, weight long"
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """The lists of a bucket that have two members at least; equal lists once, with their number as weight."""
-    posts = np.concatenate([np.frombuffer(x, _POST) for x in table.column("posts").to_pylist()])
-    posts = np.sort(posts, order=["key", "class"])
-    new = np.concatenate(([True], (posts["key"][1:] != posts["key"][:-1]) | (posts["class"][1:] != posts["class"][:-1])))
-    posts = posts[new]
-    first = np.flatnonzero(np.concatenate(([True], posts["key"][1:] != posts["key"][:-1])))
-    length = np.diff(np.concatenate((first, [len(posts)])))
-    spread = mixed(posts["class"].astype(np.uint64))
-    names = mixed(np.add.reduceat(spread, first) + length.astype(np.uint64))
-    many = length > 1
-    _, once, equal = np.unique(names[many], return_index=True, return_counts=True)
-    weight = np.zeros(len(first), np.int64)
-    weight[np.flatnonzero(many)[once]] = equal
-    rows = np.repeat(weight > 0, length)
-    return pa.table({"list": pa.array((np.repeat(names, length)[rows] >> np.uint64(1)).astype(np.int64)), "class": pa.array(posts["class"][rows].astype(np.int64)), "weight": pa.array(np.repeat(weight, length)[rows])})
+def _lists(buckets: int):
+    """The lists of a bucket that have two members at least; equal lists once, with their number as weight.
+
+    A heavy token's list is whatever carries its name; its members come from many buckets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        posts = np.concatenate([np.frombuffer(x, _POST) for x in table.column("posts").to_pylist()])
+        posts = np.unique(posts)
+        first = np.flatnonzero(np.concatenate(([True], posts["key"][1:] != posts["key"][:-1])))
+        length = np.diff(np.concatenate((first, [len(posts)])))
+        if table.column("bucket")[0].as_py() >= buckets:
+            names, weight = mixed(posts["key"][first].astype(np.uint64) + np.uint64(1 << 40)), np.ones(len(first), np.int64)
+        else:
+            names = mixed(np.add.reduceat(mixed(posts["class"].astype(np.uint64)), first) + length.astype(np.uint64))
+            many = length > 1
+            _, once, equal = np.unique(names[many], return_index=True, return_counts=True)
+            weight = np.zeros(len(first), np.int64)
+            weight[np.flatnonzero(many)[once]] = equal
+        rows = np.repeat(weight > 0, length)
+        return pa.table(
+            {
+                "list": pa.array((np.repeat(names, length)[rows] >> np.uint64(1)).astype(np.int64)),
+                "class": pa.array(posts["class"][rows].astype(np.int64)),
+                "weight": pa.array(np.repeat(weight, length)[rows]),
+            }
+        )
+
+    return run
 
 
 _SETS = pa.schema([("class", pa.int64()), ("grams", pa.binary()), ("cells", pa.binary())])
@@ -266,7 +298,7 @@ def _picked_sets(n: int, picked):
             for _, grams in ngram_sets(column_bytes(texts, "text"), n, memory):
                 if not len(grams) or (c := set_class(grams)) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 seen.add(c)
                 cells = 1 << max(3, int(len(grams) - 1).bit_length())
@@ -319,11 +351,11 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _unpruned(percent: int):
-    """Pairs of a block pair in different components whose overlap the cell counts do not rule out."""
+    """Pairs of a group in different components whose overlap the cell counts do not rule out."""
 
     def run(table: pa.Table) -> pa.Table:
-        c, n, comp, part = (np.asarray(table.column(k), np.int64) for k in ("class", "n", "comp", "part"))
-        i_part, j_part = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        c, n, comp, side = (np.asarray(table.column(k), np.int64) for k in ("class", "n", "comp", "side"))
+        across = len(np.unique(side)) > 1  # only pairs of the two sides
         counts = []
         for k, cells in enumerate(table.column("cells").to_pylist()):
             width = 1 << max(3, int(n[k] - 1).bit_length())
@@ -338,8 +370,8 @@ def _unpruned(percent: int):
             for at, k in enumerate(rows):
                 fit = (comp[others] != comp[k]) & (100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k]))
                 fit[: at + 1] = False
-                if i_part != j_part:
-                    fit &= part[others] != part[k]
+                if across:
+                    fit &= side[others] != side[k]
                 near = np.flatnonzero(fit)
                 if len(near):
                     most = np.minimum(cells[near], cells[at]).sum(1, dtype=np.int64)
@@ -352,6 +384,27 @@ def _unpruned(percent: int):
     return run
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """The rows (list, class, n, comp) of lists with several components, dealt into groups (list, kind, i, j).
+
+    A list of up to BLOCK members is one group.  In a longer one only members
+    outside its largest component need the others: blocks of them meet blocks of
+    that component (kind 0) and each other (kind 1); side parts what was compared.
+    """
+    parts = placed.groupBy("list", "comp").agg(F.count("*").alias("c"))
+    shape = parts.groupBy("list").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    shape = shape.select("list", F.col("top.comp").alias("most"), (F.col("m") <= BLOCK).alias("short"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("outer"))
+    rows = placed.join(shape, "list").withColumn("inside", F.expr("comp = most"))
+    rows = rows.withColumn("part", F.expr("pmod(xxhash64(class), IF(inside, inner, outer))").cast("int"))
+    groups = F.expr("""
+        CASE WHEN short THEN array(named_struct('kind', 2, 'i', 0, 'j', 0, 'side', 0))
+             WHEN inside THEN transform(sequence(0, outer - 1), j -> named_struct('kind', 0, 'i', part, 'j', j, 'side', 0))
+             ELSE concat(transform(sequence(0, inner - 1), i -> named_struct('kind', 0, 'i', i, 'j', part, 'side', 1)),
+                         transform(sequence(0, outer - 1), o -> named_struct('kind', 1, 'i', least(part, o), 'j', greatest(part, o), 'side', part)))
+        END""")
+    return rows.select("list", "class", "n", "comp", F.explode(groups).alias("g")).select("list", "class", "n", "comp", "g.*")
+
+
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, tested_links) for each row of ``docs(doc_id, text)``.
 
@@ -364,6 +417,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Extra columns are ignored.  Sets compare by 64-bit hashes of their n-grams.
     """
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     first = staged(docs.mapInArrow(_first_pass(n, percent), "doc_id long, class long, n long, block int, cells binary, counts binary"))
     members = first.where("block is null").select("doc_id", "class", "n")
@@ -373,14 +427,14 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sizes = {r["n"]: r["c"] for r in members.where("n > 0").groupBy(F.least("n", F.lit(2001)).alias("n")).agg(F.count("*").alias("c")).collect()}
     if not sizes:
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("tested_links"))
-    levels, mean_list = _levels(first.where("block is not null").select("block", "cells", "counts"))
+    levels, heavy, mean_list = _levels(first.where("block is not null").select("block", "cells", "counts"))
     sizes.pop(2001, 0)
     boundary = small_size(sizes, mean_list, percent)
     total = members.where("n > 0").agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0]
     buckets = max(12, int(total // 1_000_000) + 1)
     level = sc.broadcast(levels)
-    posts = docs.mapInArrow(_second_pass(n, percent, level, boundary, buckets), "bucket int, posts binary")
-    lists = posts.groupBy("bucket").applyInArrow(_lists, _LISTS).groupBy("list", "class").agg(F.sum("weight").alias("weight"))
+    posts = docs.mapInArrow(_second_pass(n, percent, level, heavy, boundary, buckets), "bucket int, posts binary")
+    lists = posts.groupBy("bucket").applyInArrow(_lists(buckets), _LISTS).groupBy("list", "class").agg(F.sum("weight").alias("weight"))
     lists = staged(lists.join(classes.select("class", "n"), "class"))
 
     # One hub a list: the member whose tokens are most often shared.  Only pairs that share a good
@@ -404,12 +458,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     labels = components(edges)
     placed = lists.join(labels, F.col("class") == F.col("node"), "left").select("list", "class", "n", F.coalesce("comp", "class").alias("comp"))
-    open_lists = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    rest = placed.join(open_lists, "list").withColumn("part", F.expr("pmod(xxhash64(class), parts)"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    rest = rest.select("list", "class", "n", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rest = rest.join(sets.select("class", "cells"), "class")
-    loose = staged(rest.groupBy("list", "i", "j").applyInArrow(_unpruned(percent), "a long, b long").distinct())
+    rest = _dealt(placed).join(sets.select("class", "cells"), "class")
+    loose = staged(rest.groupBy("list", "kind", "i", "j").applyInArrow(_unpruned(percent), "a long, b long").distinct())
     more = staged(_exact(loose, sets, percent))
     every = edges.unionByName(more)
     labels = components(every)

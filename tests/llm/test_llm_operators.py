@@ -116,14 +116,20 @@ def test_ngram_jaccard_equals_brute_force(spark, some_dir):
     assert got == want
 
 
-def test_lists_in_blocks_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("heavy", [200_000, 0])
+def test_lists_in_blocks_lose_nothing(spark, monkeypatch, heavy, sf_dir):
     """A list longer than a block is compared in pairs of blocks; hub links alone do not connect these chains."""
     from nearfield.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     chain = [(i, " ".join(f"w{k}" for k in range(6 * i, 6 * i + 120)), "en", "a", 1) for i in range(9)]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard(spark.createDataFrame(chain, DOCS)).collect()}
     assert set(got.values()) == {0}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    blocks = {tuple(r)[:3] for r in ngram_join.ngram_jaccard(docs).collect()}
+    monkeypatch.undo()
+    assert blocks == {tuple(r)[:3] for r in ngram_join.ngram_jaccard(docs).collect()}
 
 
 def test_small_sets_enumerate_pairs(spark, monkeypatch, sf_dir):
