@@ -8,11 +8,13 @@ Random numbers are rounded to six decimals, so that they can be written out.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 #: Draws of a MinHash stream; a vector that accepts none of them hashes to this number.
@@ -175,15 +177,17 @@ def with_hash(df: DataFrame, family, name: str) -> DataFrame:
     """``df(.., v)`` with the family's outputs as an array column."""
     real = isinstance(family, JL)
     item = "double" if real else "long"
-    sent = df.sparkSession.sparkContext.broadcast(family)
+    # By value: executors may not have the repository on their path.
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(family))
 
     def run(batches):
+        known = pickle.loads(sent.value)
         for b in batches:
-            x = matrix(b.column(b.schema.get_field_index("v")), getattr(sent.value, "dim", None) or len(sent.value.bounds))
+            x = matrix(b.column(b.schema.get_field_index("v")), getattr(known, "dim", None) or len(known.bounds))
             if family_unit:
                 length = np.sqrt((x * x).sum(1, keepdims=True))
                 x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-            out = sent.value(x)
+            out = known(x)
             kind = pa.list_(pa.float64() if real else pa.int64())
             yield pa.RecordBatch.from_pydict(dict(zip(b.schema.names, b.columns, strict=True)) | {name: pa.array(list(out), kind)})
 
