@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import staged, table_batch
+from nearfield.llm.common import sent, staged, table_batch
 
 #: Vectors that the codebooks are fitted on, chosen by hash.
 SAMPLE = 20_000
@@ -114,13 +114,13 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, centroids: int = 32,
         books = Codebooks(kmeans(sample, centroids), np.zeros((1, 0)))
     else:
         books = Codebooks(kmeans(sample[:, :half], centroids), kmeans(sample[:, half:], centroids))
-    sent = sc.broadcast(books)
+    codebooks = sent(vectors.sparkSession, books)
     size = len(books.first) * len(books.second)
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total, known = np.zeros(size, np.int64), codebooks()
         for b in batches:
-            total += np.bincount(sent.value.cells(_matrix(b.column(0))), minlength=size)
+            total += np.bincount(known.cells(_matrix(b.column(0))), minlength=size)
         used = np.flatnonzero(total)
         yield table_batch(pa.schema([("cell", pa.int64()), ("n", pa.int64())]), cell=used, n=total[used])
 
@@ -131,10 +131,11 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, centroids: int = 32,
 
     def plan(batches):
         schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.binary())])
+        known = codebooks()
         for b in batches:
             marks = np.zeros((b.num_rows, size), bool)
             for i, q in enumerate(_matrix(b.column(1))):
-                marks[i, sent.value.visit(q, counts, wanted)] = True
+                marks[i, known.visit(q, counts, wanted)] = True
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float64())), pa.array([np.packbits(m).tobytes() for m in marks], pa.binary())], schema=schema)
 
     asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(plan, "id long, v array<double>, cells binary")
@@ -144,9 +145,10 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, centroids: int = 32,
 
         def run(batches):
             ids, queries, marks = block.value
+            known = codebooks()
             for b in batches:
                 own, x = np.asarray(b.column(0), np.int64), _matrix(b.column(1))
-                order = np.argsort(cells := sent.value.cells(x), kind="stable")
+                order = np.argsort(cells := known.cells(x), kind="stable")
                 own, x, cells = own[order], x[order], cells[order]
                 out = ([], [], [])
                 for i in range(len(ids)):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def sent(spark: SparkSession, value):
+    """Broadcasts ``value`` and returns the function that tasks get it by.
+
+    Its classes travel by value, since executors may not have the repository on their path.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import column_bytes
+from nearfield.llm.common import column_bytes, sent
 from nearfield.llm.fm_index import FMIndex
 
 SHARD_WORDS = 1_000_000
@@ -94,7 +94,7 @@ FOUND = "n_words long, items array<long>, spans array<struct<start:long,end:long
 
 def _scan(phrases, first: bool):
     def run(batches):
-        known = phrases.value
+        known = phrases()
         for batch in batches:
             texts = column_bytes(batch, "text")
             n_words, items, spans = [], [], []
@@ -156,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs
     for k, block in enumerate(blocks):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Phrases(block, window)), k == 0), f"{kinds}, {FOUND}")
+        out = out.mapInArrow(_scan(sent(spark, Phrases(block, window)), k == 0), f"{kinds}, {FOUND}")
     return out
 
 
