@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD_MEMORY, column_bytes
+from nearfield.llm.common import WORD_MEMORY, column_bytes, sent, small_batches, tidy
 
 #: Most labelled texts that the fit reads, chosen by hash.
-MOST_TRAINING = 12_000
+MOST_TRAINING = 6_000
 #: A run without white space counts as words of this many bytes at most.
 WORD_BYTES = 192
 BEGIN = "▁".encode()
@@ -52,28 +52,42 @@ class Segmenter:
     """Forward and backward passes over the segmentations of words."""
 
     def __init__(self, pieces: dict[bytes, int]):
-        self.get, self.none = pieces.get, max(pieces.values(), default=-1) + 1
+        self.none = max(pieces.values(), default=-1) + 1
         self.longest = max(map(len, pieces), default=1)
-
-    def edges(self, words: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece numbers (``none`` where there is none) of words of one length, by (begin, end)."""
-        n, out = len(words[0]), {}
+        # Every beginning of a piece, with the piece's number or ``none``: a substring that is not here begins none.
+        begins = {p[:k]: self.none for p in pieces for k in range(1, len(p))}
+        self.get = (begins | pieces).get
+
+    def edges(self, words: list[bytes]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, rows, piece numbers) of the pieces in words of one length, by end."""
+        n, out = len(words[0]), []
+        get, none = self.get, self.none
         for b in range(n):
+            rows, live = np.arange(len(words)), words
             for e in range(b + 1, min(n, b + self.longest) + 1):
-                ids = np.array([self.get(w[b:e], self.none) for w in words])
-                if (ids != self.none).any():
-                    out[b, e] = ids
-        return out
-
-    def forward(self, words: list[bytes], table: np.ndarray, edges: dict) -> tuple[list[np.ndarray], np.ndarray]:
+                found = [get(w[b:e], -1) for w in live]
+                ids = np.array(found)
+                if (ids < 0).any():
+                    keep = np.flatnonzero(ids >= 0)
+                    if not len(keep):
+                        break
+                    rows, ids, live = rows[keep], ids[keep], [live[i] for i in keep]
+                piece = np.flatnonzero(ids != none)
+                if len(piece):
+                    out.append((b, e, rows[piece], ids[piece]))
+        return sorted(out, key=lambda x: x[1])
+
+    def forward(self, words: list[bytes], table: np.ndarray, edges: list) -> tuple[list[np.ndarray], np.ndarray]:
         """Scaled prefix sums at each place, and the log of each word's total; table: piece x language."""
         n, m = len(words[0]), len(words)
         alpha = [np.ones((m, table.shape[1]))] + [np.zeros((m, table.shape[1])) for _ in range(n)]
         log = np.zeros((m, table.shape[1]))
+        done = 0
         for e in range(1, n + 1):
-            for b in range(max(0, e - self.longest), e):
-                if (b, e) in edges:
-                    alpha[e] += alpha[b] * table[edges[b, e]]
+            while done < len(edges) and edges[done][1] == e:
+                b, _, rows, ids = edges[done]
+                alpha[e][rows] += alpha[b][rows] * table[ids]
+                done += 1
             if e % 24 == 0:  # keeps the numbers in range; scales the places still in reach alike
                 top = np.maximum(np.max(alpha[max(0, e - self.longest) : e + 1], axis=0), 1e-300)
                 for k in range(max(0, e - self.longest), e + 1):
@@ -87,14 +101,13 @@ class Segmenter:
         n, m = len(words[0]), len(words)
         alpha = [np.ones((m, table.shape[1]))] + [np.zeros((m, table.shape[1])) for _ in range(n)]
         beta = [np.zeros((m, table.shape[1])) for _ in range(n)] + [np.ones((m, table.shape[1]))]
-        by_end = sorted(edges, key=lambda x: x[1])
-        for b, e in by_end:
-            alpha[e] += alpha[b] * table[edges[b, e]]
-        for b, e in sorted(edges, key=lambda x: -x[0]):
-            beta[b] += beta[e] * table[edges[b, e]]
+        for b, e, rows, ids in edges:
+            alpha[e][rows] += alpha[b][rows] * table[ids]
+        for b, e, rows, ids in sorted(edges, key=lambda x: -x[0]):
+            beta[b][rows] += beta[e][rows] * table[ids]
         scale = counts / np.maximum(alpha[n], 1e-290)
-        for (b, e), ids in edges.items():
-            np.add.at(total, ids, alpha[b] * table[ids] * beta[e] * scale)
+        for b, e, rows, ids in edges:
+            np.add.at(total, ids, alpha[b][rows] * table[ids] * beta[e][rows] * scale[rows])
 
 
 def by_length(words) -> dict[int, list[bytes]]:
@@ -170,10 +183,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    get = sent(docs.sparkSession, model)
 
     def run(batches):
-        known = sent.value
+        known = get()
         segmenter = Segmenter(known.pieces)
         width = len(known.languages)
         place: dict[bytes, int] = {}
@@ -229,4 +243,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")
