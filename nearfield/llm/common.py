@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import pickle
 import tempfile
@@ -49,6 +50,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers live on after a task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that gives memory back at its end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def sent(spark: SparkSession, value):
     """Broadcasts ``value`` and returns the function that tasks get it by.
 
@@ -58,6 +78,11 @@ def sent(spark: SparkSession, value):
     return lambda: pickle.loads(data.value)
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the columns that an operator is about to add, whatever their case."""
+    return docs.drop(*(c for c in docs.columns if c.lower() in names))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

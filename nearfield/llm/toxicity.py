@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier from confirmed toxic and unlabelled text, by non-negative PU learning.
 
 The risk of the negative class is estimated as that of all text minus the class
-prior times that of the toxic examples, and is never let below zero.  Features
-are the words of a text (present or not) that are clearly more or less frequent
-in the toxic examples; a numpy model is fitted on the driver from bounded samples.
+prior times that of the toxic examples; where it falls below zero it counts as zero.  Features
+are words and beginnings of words (present in a text or not) that are clearly more
+frequent in the toxic examples; a numpy model is fitted on the driver from bounded samples.
 """
 
 from __future__ import annotations
@@ -16,13 +16,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD_MEMORY, WordHashes, column_bytes, table_batch
+from nearfield.llm.common import WORD_MEMORY, column_bytes, sent, small_batches, staged, table_batch, tidy, without
 from nearfield.llm.decontam import FOLD
 
 #: Most toxic and most unlabelled texts that the fit reads, chosen by hash.
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 16_000
-MOST_FEATURES = 1024
+MOST_FEATURES = 512
 LEAST_Z = 5.0
+#: Lengths in bytes of the beginnings of words that count as features, beside whole words.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: Cells in which the sample's features are counted first.
+CELL_BITS = 22
 
 
 @dataclass
@@ -51,7 +55,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
             g_pos = grad(p, -sigmoid(-zp))  # of the loss of toxic texts as toxic
             g_neg = grad(u, sigmoid(zu)) - prior * grad(p, sigmoid(zp))
             negative = softplus(zu).mean() - prior * softplus(zp).mean()
-            g = prior * g_pos + g_neg if negative >= 0 else -g_neg
+            g = prior * g_pos + g_neg if negative >= 0 else prior * g_pos
             g[:-1] += decay * w[:-1]
             t += 1
             m = 0.9 * m + 0.1 * g
@@ -60,23 +64,69 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return w[:-1], float(w[-1])
 
 
-def _word_sets(batches):
-    schema = pa.schema([("positive", pa.bool_()), ("words", pa.binary())])
-    memory = WordHashes()
+class Features(dict):
+    """Hashes of a word and of its beginnings, computed once per word and task."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= WORD_MEMORY // 4:
+            self.clear()
+        parts = [word] + [word[:k] + b"*" for k in BEGINNINGS if len(word) > k]
+        value = self[word] = tuple(map(xxhash.xxh3_64_intdigest, parts))
+        return value
+
+
+def words_in(text: bytes | None) -> set[bytes]:
+    return set((text or b"").translate(FOLD).split())
+
+
+def _cell_counts(batches):
+    """How many texts of each kind hold a feature of each cell."""
+    features, counts = Features(), {True: np.zeros(1 << CELL_BITS, np.uint32), False: np.zeros(1 << CELL_BITS, np.uint32)}
+    n = {True: 0, False: 0}
     for batch in batches:
-        out = []
-        for text in column_bytes(batch, "text"):
-            words = {memory[w] for w in (text or b"").translate(FOLD).split()}
-            out.append(np.sort(np.fromiter(words, np.uint64, len(words))).tobytes())
-        yield table_batch(schema, positive=batch.column(batch.schema.get_field_index("positive")).to_pylist(), words=out)
+        for text, kind in zip(column_bytes(batch, "text"), batch.column(batch.schema.get_field_index("positive")).to_pylist(), strict=True):
+            own = {h & ((1 << CELL_BITS) - 1) for w in words_in(text) for h in features[w]}
+            counts[kind][np.fromiter(own, np.int64, len(own))] += 1
+            n[kind] += 1
+    schema = pa.schema([("positive", pa.bool_()), ("n", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+    for kind, c in counts.items():
+        cells = np.flatnonzero(c)
+        yield table_batch(schema, positive=[kind], n=[n[kind]], cells=[cells.astype(np.uint32).tobytes()], counts=[c[cells].tobytes()])
+
+
+def _in_cells(cells):
+    schema = pa.schema([("feature", pa.int64())])
+
+    def run(batches):
+        features, wanted = Features(), set(cells.value.tolist())
+        for batch in batches:
+            for text in column_bytes(batch, "text"):
+                own = {h for w in words_in(text) for h in features[w] if h & ((1 << CELL_BITS) - 1) in wanted}
+                yield table_batch(schema, feature=np.fromiter(own, np.uint64, len(own)).astype(np.int64))
+
+    return run
+
+
+def _present(chosen):
+    schema = pa.schema([("positive", pa.bool_()), ("at", pa.list_(pa.int32()))])
+
+    def run(batches):
+        features, place = Features(), {int(h): i for i, h in enumerate(chosen.value)}
+        for batch in batches:
+            out = [sorted({place[h] for w in words_in(text) for h in features[w] if h in place}) for text in column_bytes(batch, "text")]
+            yield table_batch(schema, positive=batch.column(batch.schema.get_field_index("positive")).to_pylist(), at=out)
+
+    return run
 
 
 def train(docs: DataFrame, toxic: DataFrame, train_fold: Column) -> Model | None:
     """Fits on the rows of ``docs`` in the training fold; toxic: (doc_id, toxic 0/1), may cover part of them.
 
     Only label 1 is read as an example; label 0 counts in the class prior alone.
-    None where there is no toxic example.
+    None where there is no toxic example or no feature tells it from other text.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     labels = toxic.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pool = docs.select("doc_id", "text").where(train_fold)
     marked = labels.where(train_fold)
@@ -84,53 +134,59 @@ def train(docs: DataFrame, toxic: DataFrame, train_fold: Column) -> Model | None
     if not counts["p"]:
         return None
     prior = min(0.5, max(0.005, counts["p"] / counts["n"]))
-    by_hash = F.xxhash64("doc_id", F.lit(11))
-    ids = marked.where("toxic = 1").orderBy(by_hash, "doc_id").limit(MOST_POSITIVE).select("doc_id")
+    ids = marked.where("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(MOST_POSITIVE).select("doc_id")
     positive = pool.join(F.broadcast(ids), "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
     # The sample's threshold comes from the ids alone, so no text is sorted.
     total = pool.agg(F.count("*")).first()[0]
     cut = int((min(1.0, MOST_UNLABELLED / max(1, total)) - 0.5) * 2.0**64)
     unlabelled = pool.where(F.xxhash64("doc_id", F.lit(12)) <= F.lit(max(-(2**63), min(2**63 - 1, cut)))).select("text", F.lit(False).alias("positive"))
-    sets: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for row in positive.unionByName(unlabelled).mapInArrow(_word_sets, "positive boolean, words binary").toLocalIterator():
-        sets[row["positive"]].append(np.frombuffer(bytes(row["words"]), np.uint64))
-    n_p, n_u = len(sets[True]), len(sets[False])
-    if not n_p or not n_u:
+    sample = staged(positive.unionByName(unlabelled))
+
+    n, c = {True: 0, False: 0}, {True: np.zeros(1 << CELL_BITS, np.int64), False: np.zeros(1 << CELL_BITS, np.int64)}
+    for r in sample.mapInArrow(tidy(_cell_counts), "positive boolean, n long, cells binary, counts binary").toLocalIterator():
+        n[r["positive"]] += r["n"]
+        c[r["positive"]][np.frombuffer(bytes(r["cells"]), np.uint32)] += np.frombuffer(bytes(r["counts"]), np.uint32)
+    if not n[True] or not n[False]:
+        return None
+    rate_p, rate_u = (c[True] + 0.5) / (n[True] + 1), (c[False] + 0.5) / (n[False] + 1)
+    both = (c[True] + c[False] + 1) / (n[True] + n[False] + 2)
+    z = (rate_p - rate_u) / np.sqrt(both * (1 - both) * (1 / n[True] + 1 / n[False]))
+    cells = np.flatnonzero((z >= LEAST_Z) & (c[True] >= 3))
+    cells = cells[np.argsort(-z[cells], kind="stable")[:MOST_FEATURES]]
+    found = sample.where("positive").mapInArrow(_in_cells(spark.sparkContext.broadcast(cells)), "feature long").groupBy("feature").count()
+    # Of the features of a cell, those that make up a good part of its count.
+    rows = found.where("count >= 3").orderBy(F.desc("count"), "feature").limit(2 * MOST_FEATURES).collect()
+    features = [np.uint64(r["feature"] & (2**64 - 1)) for r in rows]
+    words = np.array(sorted(h for h, r in zip(features, rows, strict=True) if 2 * r["count"] >= c[True][int(h) & ((1 << CELL_BITS) - 1)]), np.uint64)
+    if not len(words):
         return None
-    every_p, count_p = np.unique(np.concatenate(sets[True]), return_counts=True)
-    all_u, all_count = np.unique(np.concatenate(sets[False]), return_counts=True)
-    at = np.minimum(np.searchsorted(all_u, every_p), max(0, len(all_u) - 1))
-    count_u = np.where(all_u[at] == every_p, all_count[at], 0) if len(all_u) else np.zeros(len(every_p))
-    rate_p, rate_u = (count_p + 0.5) / (n_p + 1), (count_u + 0.5) / (n_u + 1)
-    both = (count_p + count_u + 1) / (n_p + n_u + 2)
-    z = (rate_p - rate_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (count_p >= 3))
-    if not len(chosen):
-        chosen = np.argsort(-np.abs(z), kind="stable")[:64]
-    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_FEATURES]]
-    words = np.sort(every_p[chosen])
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(words)), np.uint8)
-        for i, row in enumerate(rows):
-            at = np.searchsorted(words, row)
-            at[at == len(words)] = 0
-            x[i, at[words[at] == row]] = 1
-        return x
-
-    weights, bias = fit_nnpu(matrix(sets[True]), matrix(sets[False]), prior)
+
+    x: dict[bool, list[list[int]]] = {True: [], False: []}
+    for r in sample.mapInArrow(_present(spark.sparkContext.broadcast(words)), "positive boolean, at array<int>").toLocalIterator():
+        x[r["positive"]].append(r["at"])
+
+    def matrix(rows: list[list[int]]) -> np.ndarray:
+        m = np.zeros((len(rows), len(words)), np.uint8)
+        for i, at in enumerate(rows):
+            m[i, at] = 1
+        return m
+
+    weights, bias = fit_nnpu(matrix(x[True]), matrix(x[False]), prior)
     return Model(words, weights, bias)
 
 
-class _Weights(dict):
+class _Active(dict):
+    """The model's features that a word shows, by place; most words show none."""
+
     def __init__(self, model: Model):
         super().__init__()
-        self.by_hash = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+        self.place = {int(h): i for i, h in enumerate(model.words)}
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= WORD_MEMORY:
             self.clear()
-        value = self[word] = self.by_hash.get(xxhash.xxh3_64_intdigest(word), 0.0)
+        parts = [word] + [word[:k] + b"*" for k in BEGINNINGS if len(word) > k]
+        value = self[word] = tuple(self.place[h] for p in parts if (h := xxhash.xxh3_64_intdigest(p)) in self.place)
         return value
 
 
@@ -138,18 +194,21 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1; higher: likelier toxic), for every row; only ``text`` is read.
 
     A null text scores as the empty one.  Without a model every score is 0.
-    docs must have no column of that name; other columns and repeated rows stay.
+    A column of that name is replaced; other columns and repeated rows stay.
     """
+    docs = without(docs, "score")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    get = sent(docs.sparkSession, model)
 
     def run(batches):
-        weights = _Weights(sent.value)
+        known = get()
+        active = _Active(known)
         for batch in batches:
-            z = np.array([sum(sorted(x for w in set((t or b"").translate(FOLD).split()) if (x := weights[w]))) for t in column_bytes(batch, "text")]) + sent.value.bias
+            z = np.array([known.weights[sorted({i for w in words_in(t) for i in active[w]})].sum() for t in column_bytes(batch, "text")]) + known.bias
             columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"score": pa.array(0.5 * (1 + np.tanh(z / 2)), pa.float64())}
             yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(tidy(run), f"{kinds}, score double")
