@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import crc_fold, read_table, staged
-from nearfield.llm.decontam import contamination, remove_spans
+from nearfield.llm.decontam import contamination
 from nearfield.llm.mixing import mix
 from nearfield.llm.ngram_join import ngram_jaccard
 from nearfield.llm.secrets import find_secrets, redact_secrets
@@ -20,7 +20,7 @@ from nearfield.llm.toxicity import score, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic (score below 0.5)."""
     model = train(docs, read_table(spark, sf_dir, "labels"), crc_fold("doc_id", 5) != 0)
-    return score(docs, model).where("score < 0.5").drop("score")
+    return _aside(docs, lambda d: score(d, model).where("score < 0.5"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +34,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the benchmark passages they held; one that held nothing else goes."""
-    found = remove_spans(contamination(docs, read_table(spark, sf_dir, "benchmark")))
-    kept = found.where(~((F.size("spans") > 0) & (F.trim("text") == "")))
-    return _sized(kept.select(docs.columns), docs)
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    emptied = (F.size("spans") > 0) & (F.trim("text") == "")
+    return _sized(_aside(docs, lambda d: contamination(d, benchmark, cut=True).where(~emptied)), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by its kind."""
-    return _sized(redact_secrets(find_secrets(docs)).select(docs.columns), docs)
+    return _sized(_aside(docs, lambda d: redact_secrets(find_secrets(d))), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs, docs.columns).where("taken > 0")
 
 
+def _aside(docs: DataFrame, stage) -> DataFrame:
+    """Runs a stage while columns with the names that operators add stand aside under other names."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("score", "n_words", "items", "spans", "base")}
+    return stage(docs.withColumnsRenamed(own)).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def _sized(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """n_chars follows the text where it was known."""
     if "n_chars" not in docs.columns:

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import column_bytes, sent
+from nearfield.llm.common import column_bytes, sent, small_batches, tidy
+from nearfield.llm.common import without as leaving
 from nearfield.llm.fm_index import FMIndex
 
 SHARD_WORDS = 1_000_000
@@ -78,21 +79,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without(text: bytes, spans: list[tuple[int, int]]) -> str:
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """``text`` without the word spans: from the first letter of a span's first word to the next word's."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     at, parts = 0, []
     for a, b in spans:
         parts.append(text[at : words[a][0]])
         at = words[b][0] if b < len(words) else words[b - 1][1]
-    return (b"".join(parts) + text[at:]).decode()
+    return b"".join(parts) + text[at:]
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = "n_words long, items array<long>, spans array<struct<start:long,end:long>>"
 
 
-def _scan(phrases, first: bool):
+def _scan(phrases, first: bool, cut: bool):
     def run(batches):
         known = phrases()
         for batch in batches:
@@ -129,21 +130,25 @@ def _scan(phrases, first: bool):
                 items = [sorted({*a, *b}) for a, b in zip(items, columns["items"].to_pylist(), strict=True)]
                 spans = [merged([*a, *((x["start"], x["end"]) for x in b)]) for a, b in zip(spans, columns["spans"].to_pylist(), strict=True)]
             columns |= {"n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.int64())), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN)}
+            if cut:
+                columns["text"] = pa.array([without(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return run
+    return tidy(run)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, cut: bool = False) -> DataFrame:
     """``docs`` with n_words, items (ids of the items found, sorted) and spans (merged hit words, [start, end)).
 
-    docs has a string column ``text``, no column of those three names; benchmark
+    docs has a string column ``text``; columns of those three names are replaced.  benchmark
     has ``item_id`` and ``text``.  An item of fewer words than the window is one
     phrase; items without words, null texts and null ids are never found.  Null
     and empty texts have no words.  Rows and other columns stay as they are.
+    cut: the spans are cut out of ``text``, each with what parts it from the next word.
     The benchmark reaches the executors in blocks of at most BLOCK_WORDS words and one item.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, leaving(docs, "n_words", "items", "spans")
+    small_batches(spark)
     blocks, size = [[]], 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
         words = row["text"].encode().translate(FOLD).split()
@@ -156,21 +161,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs
     for k, block in enumerate(blocks):
-        out = out.mapInArrow(_scan(sent(spark, Phrases(block, window)), k == 0), f"{kinds}, {FOUND}")
+        out = out.mapInArrow(_scan(sent(spark, Phrases(block, window)), k == 0, cut and k == len(blocks) - 1), f"{kinds}, {FOUND}")
     return out
-
-
-def remove_spans(found: DataFrame) -> DataFrame:
-    """The rows of ``contamination`` with their spans cut out of ``text``."""
-
-    def run(batches):
-        for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts = columns["text"].to_pylist()
-            for k, spans in enumerate(columns["spans"].to_pylist()):
-                if spans:
-                    texts[k] = without(texts[k].encode(), [(s["start"], s["end"]) for s in spans])
-            columns["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return found.mapInArrow(run, found.schema)

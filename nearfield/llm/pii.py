@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import spans as S
+from nearfield.llm.common import without
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "local")
@@ -72,12 +73,13 @@ def pii_spans(text: Column) -> tuple[Column, Column]:
 def find_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with base and spans: arrays of (start, rank, end, kind, value, score), sorted by start, then kind.
 
-    docs has a string column ``text`` and no columns of those names.  base holds
+    docs has a string column ``text``; columns of those names are replaced.  base holds
     email, ip, card and phone; spans adds account numbers that pass mod-97, and
     identity and local phone numbers that context words confirm, where they
     overlap no base span.  A null or empty text has none.  Rows and other
     columns stay; repeated rows are treated alike.
     """
+    docs = without(docs, "base", "spans")
     base, more = pii_spans(F.coalesce(F.col("text"), F.lit("")))
     out = docs.withColumns({"base": base, "spans": more})
     return out.withColumns({"base": F.array_sort("base"), "spans": F.array_sort(F.concat("base", S.clear_of(F.col("spans"), F.col("base"))))})

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import spans as S
+from nearfield.llm.common import without
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -82,11 +83,12 @@ def thresholds(histogram: dict[tuple[int, int], int]) -> dict[int, int]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with base and spans: arrays of (start, rank, end, kind, value, score), sorted by start, then kind.
 
-    docs has a string column ``text`` and no columns of those names.  base holds
+    docs has a string column ``text``; columns of those names are replaced.  base holds
     assign, access and hex; spans adds kind random (score: its z), where it
     overlaps no base span.  A null or empty text has none.  Rows and other
     columns stay; repeated rows are treated alike.
     """
+    docs = without(docs, "base", "spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     seen = docs.select(F.explode(candidates(text)).alias("s")).select(stratum(F.col("s.value")).alias("stratum"), F.floor(battery(F.col("s.value")) / STEP).cast("int").alias("z"))
     least = thresholds({(r["stratum"], r["z"]): r["n"] for r in seen.groupBy("stratum", F.least(F.greatest("z", F.lit(-200)), F.lit(200)).alias("z")).agg(F.count("*").alias("n")).collect()})

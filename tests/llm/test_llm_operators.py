@@ -123,6 +123,7 @@ def test_lists_in_blocks_lose_nothing(spark, monkeypatch, heavy, sf_dir):
 
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
     monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "TASKS_AT_ONCE", 1)
     chain = [(i, " ".join(f"w{k}" for k in range(6 * i, 6 * i + 120)), "en", "a", 1) for i in range(9)]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard(spark.createDataFrame(chain, DOCS)).collect()}
     assert set(got.values()) == {0}
@@ -250,12 +251,12 @@ def test_fm_index_finds_every_occurrence():
 
 
 def test_cut_spans_leave_the_rest(spark):
-    from nearfield.llm.decontam import contamination, remove_spans
+    from nearfield.llm.decontam import contamination
 
     item = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11"
     docs = spark.createDataFrame([(1, f"Before, {item.upper()}! after"), (2, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in remove_spans(contamination(docs, bench)).collect()} == {1: "Before, after", 2: "clean"}
+    assert {r["doc_id"]: r["text"] for r in contamination(docs, bench, cut=True).collect()} == {1: "Before, after", 2: "clean"}
 
 
 def base_spans(text, patterns):

@@ -27,6 +27,18 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
     assert mixed.where("taken <= 0").count() == 0
 
 
+def test_clashing_columns_stay(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = read_table(spark, sf_dir, "documents").where("doc_id < 60").withColumns({c: F.col("doc_id") + 7 for c in ("score", "Spans", "items", "base", "size", "draw", "class")})
+    out = docs
+    for _, stage in P.STAGES[:-1]:
+        out = staged(stage(spark, out, sf_dir))
+    assert out.columns == docs.columns
+    assert out.where("score <> doc_id + 7 or spans <> doc_id + 7 or size <> doc_id + 7 or class <> doc_id + 7").count() == 0 and out.count() > 0
+    assert P.STAGES[-1][1](spark, out, sf_dir).where("taken > 0").count() > 0
+
+
 def test_runs_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
