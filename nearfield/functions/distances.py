@@ -50,6 +50,13 @@ def distance(metric: str | int, a: Column, b: Column) -> Column:
     return COLUMNS[name](a, b)
 
 
+def sketch_distance(code: int, a: Column, b: Column) -> Column:
+    """The distance of two sketch columns by the method's code: 3 SimHash, 4 MinHash, 5 one-bit MinHash, 6 projection."""
+    if code not in SKETCH_CODES:
+        raise ValueError(f"no sketch has code {code!r}")
+    return COLUMNS[SKETCH_CODES[code]](a, b)
+
+
 def _np_cos(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):

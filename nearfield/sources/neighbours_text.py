@@ -48,7 +48,13 @@ def first_reported(neighbours: DataFrame, report_k: int) -> DataFrame:
     return neighbours.where(F.col("rank") <= report_k)
 
 
-def read_distances(spark: SparkSession, path: str, share: float = 1.0, seed: int = 1) -> DataFrame:
-    """(dist) of a list with one distance a line and label lines that start with Q; ``share`` draws a sample."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("Q") & (F.trim("value") != "")).select(F.trim("value").cast("double").alias("dist"))
+def read_distances(spark: SparkSession, path: str, share: float = 1.0, seed: int = 1, lines: int | None = None) -> DataFrame:
+    """(dist) of a list with one distance a line and label lines that start with Q.
+
+    lines: only so many lines from the start; share: draws a sample of the distances.
+    """
+    text = spark.read.text(path)
+    if lines is not None:
+        text = text.limit(lines)
+    rows = text.where(~F.col("value").startswith("Q") & (F.trim("value") != "")).select(F.trim("value").cast("double").alias("dist"))
     return rows if share >= 1 else rows.sample(share, seed)

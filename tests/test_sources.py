@@ -61,6 +61,7 @@ def test_distance_list(spark, tmp_path):
     (tmp_path / "d.txt").write_text("Q1:\n0.5\n0.25\nQ2:\n1\n")
     assert sorted(r["dist"] for r in neighbours_text.read_distances(spark, f"{tmp_path}/d.txt").collect()) == [0.25, 0.5, 1.0]
     assert neighbours_text.read_distances(spark, f"{tmp_path}/d.txt", 0.2).count() <= 3
+    assert neighbours_text.read_distances(spark, f"{tmp_path}/d.txt", lines=2).count() == 1
 
 
 def test_metrics_append_and_report(spark, tmp_path):

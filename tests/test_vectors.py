@@ -73,6 +73,15 @@ def test_errors(spark):
         nearest(data, frame(spark, [(1, [1.0, 2.0])]), 1, "cosine").collect()
 
 
+def test_sketch_distances_by_code(spark):
+    t = spark.createDataFrame([([0b1011, 0], [0b0001, 1], [1.0, 2.0], [0.0, 4.0])], "a array<long>, b array<long>, x array<double>, y array<double>")
+    a, b = F.col("a"), F.col("b")
+    got = t.select(D.sketch_distance(3, a, b), D.sketch_distance(4, a, b), D.sketch_distance(5, a, b), D.sketch_distance(6, F.col("x"), F.col("y"))).first()
+    assert tuple(got) == (3.0, 1.0, 3 / 64, 5.0)
+    with pytest.raises(ValueError):
+        D.sketch_distance(2, a, b)
+
+
 def test_empty_sides(spark):
     data, _ = random_vectors(spark, 4)
     empty = frame(spark, [])
