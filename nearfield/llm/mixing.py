@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import JAVA_SPACE, staged
 
-BINS = 1 << 14
+BINS = 1 << 10
 #: Sources up to this number are broadcast (their number is counted first); more are joined by shuffle.
 MOST_BROADCAST = 100_000
 
@@ -57,8 +57,10 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = (3, 1, 2)
     twice its size).  A null source is a source of its own, last in order.
     Reruns agree: keys depend on doc_id, quality and seed alone; rows with equal doc_id are
     ordered by size, and equal rows are alike.  Sources without words have target 0.
+    Kept columns with the names of the added ones are left out.
     quality: a positive weight; by default from the words' mean length.
     """
+    keep = [c for c in keep if c.lower() not in ("size", "source_size", "target", "taken")]
     rows = docs.select(
         F.col("doc_id").alias("_id"),
         F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("key"),
