@@ -90,7 +90,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, is_query: str, k: int = 10, centroids: int = 32, coverage: float = 0.5) -> DataFrame:
+def search(vectors: DataFrame, is_query: str, k: int = 10, centroids: int = 32, coverage: float = 0.6) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, ties to the smaller vec_id.
 
     is_query: SQL condition on ``id``.  Candidates are all other ids.  score: the
