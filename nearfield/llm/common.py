@@ -43,11 +43,11 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch of whole texts, where the session still has Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of a batch of whole texts, for Arrow and for Parquet, where the session still has Spark's defaults."""
+    for key, usual, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512")):
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, rows)
 
 
 def give_back() -> None:

@@ -4,7 +4,9 @@ The model: n-grams with Dirichlet-smoothed probabilities,
 
     p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 
-h' being h without its first word.  As an automaton, each history is a state;
+h' being h without its first word, and m = s c(h)^b.  c(h)^b stands for the number
+of different words after h; for each order b is such that these add up to the
+number of different n-grams.  As an automaton, each history is a state;
 a seen n-gram is an arc; any other word takes the failure arc to h', which
 weighs m / (c(h) + m).  The probabilities sum to one over the vocabulary and one
 unknown word.
@@ -25,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WordHashes, hashed_words, joined
+from nearfield.llm.common import WordHashes, give_back, hashed_words, joined, small_batches
 
 #: Text bytes of a block, and n-grams of a bucket, about.
 BLOCK_BYTES = 16_000_000
 BUCKET_GRAMS = 1_500_000
-#: Strength of each order's backoff: m above, from order 2 on.
-STRENGTH = 4.0
+#: Scale of each order's backoff: s above, from order 2 on.
+STRENGTH = 2.0
+#: Exponents for which sums of powers of the counts are taken; b is read off between them.
+EXPONENTS = np.linspace(0.2, 1.0, 17)
 END, START = np.uint64(1), np.uint64(2)
 
 
@@ -96,6 +100,7 @@ def _send(order: int, buckets: int):
         number = table.column("block")[0].as_py()
         starts = int(np.asarray(table.column("train")).sum())
         out = {k: [] for k in ("block", "bucket", "order", "grams", "counts", "starts")}
+        give_back()
         width = (1 << 64) // buckets + 1
         for k in range(order):
             g = block.grams[k]
@@ -114,7 +119,7 @@ def _send(order: int, buckets: int):
     return run
 
 
-REPLY = "block int, bucket int, `order` int, counts binary, tokens long, types long, starts long"
+REPLY = "block int, bucket int, `order` int, counts binary, tokens long, types long, starts long, powers array<double>"
 
 
 def _sum(table: pa.Table) -> pa.Table:
@@ -123,6 +128,7 @@ def _sum(table: pa.Table) -> pa.Table:
     distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
     counts = np.concatenate([unplanes(x) for x in table.column("counts").to_pylist()])
     total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+    some = np.unique(total[total > 0].astype(float), return_counts=True)
     ends = np.cumsum([len(g) for g in grams])[:-1]
     n = table.num_rows
     return pa.table(
@@ -134,6 +140,7 @@ def _sum(table: pa.Table) -> pa.Table:
             "tokens": pa.array([int(total.sum())] * n, pa.int64()),
             "types": pa.array([int((total > 0).sum())] * n, pa.int64()),
             "starts": pa.array([sum(table.column("starts").to_pylist())] * n, pa.int64()),
+            "powers": pa.array([[float((some[0] ** b * some[1]).sum()) for b in EXPONENTS]] * n, pa.list_(pa.float64())),
         }
     )
 
@@ -145,7 +152,7 @@ class Automaton:
     fails[k]: by history of order k, the weight of its failure arc.
     """
 
-    def __init__(self, counts: list[np.ndarray], block: Block, total: int, types: int, texts: int, strength: float):
+    def __init__(self, counts: list[np.ndarray], block: Block, total: int, types: int, texts: int, scale: float, exponents: list[float]):
         self.block = block
         low = np.log10((counts[0] + 0.1) / (total + 0.1 * (types + 1)))
         self.base, self.arcs, self.fails, self.start_fail = low, [low], [], []
@@ -155,9 +162,10 @@ class Automaton:
             token[block.at[k]] = np.arange(len(block.at[k]))
             history = block.histories[k - 1]
             seen = np.where(history >= 0, counts[k - 1][history], texts)
+            strength = scale * np.maximum(seen, 1.0) ** exponents[k - 1]
             weight = np.log10(strength / (seen + strength))
             lower = self.arcs[k - 1][block.at[k - 1]] if k == 1 else self._walk(k - 1)
-            p = (counts[k] + strength * 10 ** lower[token]) / (seen[token] + strength)
+            p = (counts[k] + strength[token] * 10 ** lower[token]) / (seen[token] + strength[token])
             self.arcs.append(np.where(counts[k] > 0, np.log10(p), np.nan))
             self.fails.append(weight)
 
@@ -184,26 +192,33 @@ class Automaton:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(order: int, strength: float):
+def exponent(powers: np.ndarray, types: int) -> float:
+    """b such that the counts to the power b add up to ``types``; powers: the sums for EXPONENTS."""
+    return float(np.interp(types, powers, EXPONENTS))
+
+
+def _score(order: int, scale: float):
     def run(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
         train = np.asarray(docs.column("train"))
         block = encode(_texts(docs), train, order)
-        got = replies.select(["order", "bucket", "counts", "tokens", "types", "starts"]).to_pylist()
+        got = replies.select(["order", "bucket", "counts", "tokens", "types", "starts", "powers"]).to_pylist()
         got.sort(key=lambda r: (r["order"], r["bucket"]))
         counts = [np.concatenate([unplanes(r["counts"]) for r in got if r["order"] == k]) for k in range(order)]
         total = sum(r["tokens"] for r in got if not r["order"])
-        types = sum(r["types"] for r in got if not r["order"])
+        types = [sum(r["types"] for r in got if r["order"] == k) for k in range(order)]
+        powers = [np.sum([r["powers"] for r in got if r["order"] == k], axis=0) for k in range(order)]
         texts = max(r["starts"] for r in got)
-        score, base = Automaton(counts, block, total, types, texts, strength).scores()
+        score, base = Automaton(counts, block, total, types[0], texts, scale, [exponent(powers[k - 1], types[k]) for k in range(1, order)]).scores()
+        give_back()
         known = np.add.reduceat((counts[0] > 0)[block.at[0]].astype(np.int64), block.first[:-1])
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": pa.array(~train), "n_tokens": pa.array(np.diff(block.first), pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
 
 
-def lm_scores(docs: DataFrame, train: str, order: int = 2, strength: float = STRENGTH) -> DataFrame:
+def lm_scores(docs: DataFrame, train: str, order: int = 2, scale: float = STRENGTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs(doc_id, text)``.
 
     train: SQL condition on doc_id, never null, that holds for the texts to learn
@@ -212,11 +227,12 @@ def lm_scores(docs: DataFrame, train: str, order: int = 2, strength: float = STR
     unigrams alone.  Without training texts all counts are 0.  Repeated rows count each; extra columns
     are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.expr(train).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    buckets = max(4, int(size * order // 8 // BUCKET_GRAMS) + 1)
+    blocks = max(8, int(size // BLOCK_BYTES) + 1)
+    buckets = max(8, int(size * order // 8 // BUCKET_GRAMS) + 1)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(max(blocks, 12), "block")
     sent = dealt.groupBy("block").applyInArrow(_send(order, buckets), SENT)
     replies = sent.groupBy("bucket", "order").applyInArrow(_sum, REPLY)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, strength), SCORED)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, scale), SCORED)

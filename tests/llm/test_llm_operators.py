@@ -168,6 +168,8 @@ def test_forward_sums_all_segmentations():
 
 
 def test_lm_equals_plain_model(spark, some_dir):
+    from nearfield.llm.lm import EXPONENTS, exponent
+
     docs = documents(spark, some_dir)
     uni, bi, texts = Counter(), Counter(), 0
     for i, text, *_ in docs:
@@ -176,7 +178,8 @@ def test_lm_equals_plain_model(spark, some_dir):
             uni.update(w)
             bi.update(zip(["<s>", *w], w))
             texts += 1
-    total, types, m = sum(uni.values()), len(uni), 4.0
+    total, types = sum(uni.values()), len(uni)
+    b = exponent(np.array([sum(c**e for c in uni.values()) for e in EXPONENTS]), len(bi))
     want = Counter()
     for i, text, *_ in docs:
         w = [*words(text), None]
@@ -184,6 +187,7 @@ def test_lm_equals_plain_model(spark, some_dir):
         score = 0.0
         for h, x, p in zip(["<s>", *w], w, p1):
             c = texts if h == "<s>" else uni[h]
+            m = 2.0 * max(c, 1) ** b
             score += math.log10((bi[h, x] + m * p) / (c + m))
         want[i, not fold(i, 10), len(w), sum(uni[x] > 0 for x in w), total, round(sum(map(math.log10, p1)), 5), round(score, 5)] += 1
     got = Counter((r["doc_id"], not fold(r["doc_id"], 10), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in rows(spark, "op3_lm_scores", some_dir))
@@ -191,7 +195,7 @@ def test_lm_equals_plain_model(spark, some_dir):
 
 
 def test_third_order_model(spark):
-    from nearfield.llm.lm import lm_scores
+    from nearfield.llm.lm import EXPONENTS, exponent, lm_scores
 
     docs = spark.createDataFrame([(1, "a b c a b d"), (2, "a b c"), (3, "b c a x")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm_scores(docs, "doc_id <> 3", order=3).collect()}
@@ -202,13 +206,17 @@ def test_third_order_model(spark):
         c1.update(w[2:])
         c2.update((a, b) for a, b in zip(w[1:], w[2:]))
         c3.update(zip(w, w[1:], w[2:]))
-    n, v, m = sum(c1.values()), len(c1), 4.0
+    n, v = sum(c1.values()), len(c1)
+    b2, b3 = (exponent(np.array([sum(c**e for c in low.values()) for e in EXPONENTS]), len(high)) for low, high in ((c1, c2), (c2, c3)))
     for i, s in seqs.items():
         w, total = ["<s>", "<s>", *s, "</s>"], 0.0
         for a, b, x in zip(w, w[1:], w[2:]):
             p = (c1[x] + 0.1) / (n + 0.1 * (v + 1))
-            p = (c2[b, x] + m * p) / ((2 if b == "<s>" else c1[b]) + m)
+            h = 2 if b == "<s>" else c1[b]
+            m = 2.0 * max(h, 1) ** b2
+            p = (c2[b, x] + m * p) / (h + m)
             h = 2 if b == "<s>" else c2[a, b]
+            m = 2.0 * max(h, 1) ** b3
             total += math.log10((c3[a, b, x] + m * p) / (h + m))
         assert got[i] == pytest.approx(total)
 
