@@ -17,6 +17,10 @@ from nearfield.llm.secrets import find_secrets, redact_secrets
 from nearfield.llm.toxicity import score, train
 
 
+#: Ids up to this number are broadcast (32 MB).
+MOST_BROADCAST = 2_000_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic (score below 0.5)."""
     model = train(docs, read_table(spark, sf_dir, "labels"), crc_fold("doc_id", 5) != 0)
@@ -28,7 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows with one doc_id all stay or go together; rows without doc_id stay.
     """
-    going = ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    going = staged(ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    if going.count() <= MOST_BROADCAST:  # else texts and ids are joined by shuffle
+        going = F.broadcast(going)
     return docs.join(going, "doc_id", "left_anti").select(docs.columns)
 
 

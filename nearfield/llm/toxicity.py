@@ -26,7 +26,7 @@ LEAST_Z = 5.0
 #: Lengths in bytes of the beginnings of words that count as features, beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Cells in which the sample's features are counted first.
-CELL_BITS = 22
+CELL_BITS = 20
 
 
 @dataclass
