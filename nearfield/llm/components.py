@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = staged(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        # A forest of stars: nothing hangs on a node that hangs itself.
-        deep = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        wide = small.groupBy("u").count().where("count > 1").limit(1).count()
+        # A forest of stars: each node hangs once, and nothing hangs on a node that hangs itself.
+        ends = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("hangs")), F.struct(F.col("v").alias("x"), F.lit(0).alias("hangs")))).alias("e")).select("e.*")
+        state = ends.groupBy("x").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("holds"))
         now = small
-        if not deep and not wide:
+        if not state.where("n > 1 or (n = 1 and holds = 0)").limit(1).count():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -29,19 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WordHashes, column_bytes, hashed_words, joined, mixed, small_batches, staged, table_batch
+from nearfield.llm.common import WordHashes, column_bytes, give_back, hashed_words, joined, mixed, small_batches, staged, table_batch, tidy
 from nearfield.llm.components import components
 
-#: Cells of the count sketch that orders tokens; its levels (one byte a cell) are broadcast: 4 MB.
-SKETCH_BITS = 22
-SKETCH_BLOCKS = 16
+#: Most cells of the count sketch that orders tokens; its levels (one byte a cell) are broadcast: 16 MB.
+SKETCH_BITS = 24
+SKETCH_BLOCKS = 128
+#: Tasks whose sketches one task adds up.
+TASKS_AT_ONCE = 4096
 #: Cells of the bitmap that picks the documents whose sets are needed again: 4 MB.
 PICK_BITS = 25
+PICK_PARTS = 64
 #: Members of a list that one task compares with as many others.
 BLOCK = 2048
-#: Ids up to this number are broadcast to leave out sets that no pair names; more are joined by shuffle.
-MOST_BROADCAST = 1_000_000
-FLUSH_WORDS = 400_000
+#: Pairs up to this number are broadcast (64 MB) to leave out sets that no pair names; more are joined by shuffle.
+MOST_BROADCAST = 2_000_000
+FLUSH_WORDS, FLUSH_POSTS = 300_000, 400_000
 #: A token that so many sets may hold is heavy: its postings are not gathered in one task.
 HEAVY = 200_000
 #: Cost of reading an entry of an inverted list, against that of sending one.
@@ -95,12 +98,14 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
 
-def _first_pass(n: int, percent: int):
+def _first_pass(n: int, bits: int):
     def run(batches):
         memory, seen = WordHashes(), set()
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint8)  # up to 3 a cell and task
+        lane = None
         for batch in batches:
             ids = batch.column(0).to_pylist()
+            lane = len(ids) if lane is None else lane
             out_id, out_class, out_n = [], [], []
             for place, grams in ngram_sets(column_bytes(batch, "text"), n, memory):
                 c = set_class(grams) if len(grams) else None
@@ -111,31 +116,42 @@ def _first_pass(n: int, percent: int):
                     if len(seen) > 300_000:
                         seen.clear()
                     seen.add(c)
-                    cells = (grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-                    np.add.at(sketch, cells, 1)
+                    cells = (grams & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    sketch[cells] = np.minimum(sketch[cells] + 1, 3)
+                    lane ^= c
             k = len(out_id)
             yield table_batch(_MEMBERS, doc_id=out_id, **{"class": out_class}, n=out_n, block=[None] * k, cells=[None] * k, counts=[None] * k)
-        step = (1 << SKETCH_BITS) // SKETCH_BLOCKS
+        step = (1 << bits) // SKETCH_BLOCKS
+        lane = mixed(np.array([lane], np.uint64))[0] if lane is not None else 0
         for b in range(SKETCH_BLOCKS):
             part = sketch[b * step : (b + 1) * step]
-            if np.count_nonzero(part) * 8 > step:  # a byte for each cell; below, what is over
-                yield table_batch(_MEMBERS, doc_id=[None], **{"class": [None]}, n=[None], block=[b], cells=[None], counts=[np.minimum(part, 255).astype(np.uint8).tobytes()])
-                part = part - np.minimum(part, 255)
             cells = np.flatnonzero(part)
-            if len(cells):
-                yield table_batch(_MEMBERS, doc_id=[None], **{"class": [None]}, n=[None], block=[b], cells=[cells.astype(np.uint32).tobytes()], counts=[part[cells].tobytes()])
+            if 8 * len(cells) > step:  # two bits for each cell; below, four bytes for each cell in use
+                cells, counts = None, (part[0::4] | part[1::4] << 2 | part[2::4] << 4 | part[3::4] << 6).tobytes()
+            else:
+                cells, counts = (cells.astype(np.uint32) << np.uint32(2) | part[cells]).tobytes(), None
+            if cells or counts:
+                yield table_batch(_MEMBERS, doc_id=[int(lane) >> 1], **{"class": [None]}, n=[None], block=[b], cells=[cells], counts=[counts])
 
-    return run
+    return tidy(run)
 
 
-def _sum_sketch(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.int64)
-    for cells, counts in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        if cells is None:
-            total += np.frombuffer(counts, np.uint8)
-        else:
-            total[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.uint32)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "cells": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+def _sum_sketch(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << bits) // SKETCH_BLOCKS, np.uint32)
+        for cells, counts, sums in zip(*(table.column(k).to_pylist() for k in ("cells", "counts", "sums")), strict=True):
+            if sums is not None:
+                total += np.frombuffer(sums, np.uint32)
+            elif cells is not None:
+                packed = np.frombuffer(cells, np.uint32)
+                total[packed >> 2] += packed & 3
+            else:
+                packed = np.frombuffer(counts, np.uint8)
+                for k in range(4):
+                    total[k::4] += (packed >> (2 * k)) & 3
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary()), "total": pa.array([int(total.sum(dtype=np.int64))], pa.int64())})
+
+    return run
 
 
 def _level(count: np.ndarray, mean: float) -> np.ndarray:
@@ -149,18 +165,33 @@ def _level(count: np.ndarray, mean: float) -> np.ndarray:
     return np.where(steps < 40, np.floor(steps), np.minimum(far, 63)).astype(np.uint8)
 
 
-def _levels(sketched: DataFrame) -> tuple[np.ndarray, int, float]:
+def _levels(sketched: DataFrame, bits: int) -> tuple[np.ndarray, int, float]:
     """A level for each cell, the level from which tokens are heavy, and the mean length of an inverted list of ordinary tokens (collision noise taken off)."""
-    total = np.zeros(1 << SKETCH_BITS, np.uint32)
-    step = len(total) // SKETCH_BLOCKS
-    for row in sketched.groupBy("block").applyInArrow(_sum_sketch, "block int, cells binary").toLocalIterator():
-        total[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(bytes(row["cells"]), np.uint32)
-    mean = float(total.mean())
-    level = _level(total, mean)
-    heavy = int(_level(np.array([HEAVY]), mean)[0])
-    low = total[total <= mean + 3 * mean**0.5].astype(np.float64)
-    extra = max(0.0, float((low * low).sum() - low.sum() ** 2 / max(1, len(low))) / max(1.0, float(low.sum())) - 1)
-    return level, heavy, 1 + extra
+    parts = sketched.withColumn("sums", F.lit(None).cast("binary"))
+    lanes = sketched.where("block = 0").count() // TASKS_AT_ONCE
+    if lanes:  # many tasks: their sketches are added up in two steps
+        lane = F.pmod("doc_id", F.lit(lanes + 1)).cast("int").alias("lane")
+        parts = parts.groupBy("block", lane).applyInArrow(_sum_sketch(bits), "block int, sums binary, total long").withColumns({"cells": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")})
+    sums = staged(parts.select("block", "cells", "counts", "sums").groupBy("block").applyInArrow(_sum_sketch(bits), "block int, sums binary, total long"))
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << bits)
+    limit = int(mean + 3 * mean**0.5) + 2
+    schema = pa.schema([("block", pa.int32()), ("levels", pa.binary()), ("cells", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = np.frombuffer(data, np.uint32)
+                # Beside the levels, a histogram of the counts of ordinary cells.
+                yield table_batch(schema, block=[block], levels=[_level(total, mean).tobytes()], cells=[np.bincount(np.minimum(total, limit), minlength=limit + 1)[:limit].tolist()])
+
+    step = (1 << bits) // SKETCH_BLOCKS
+    level, cells = np.zeros(1 << bits, np.uint8), np.zeros(limit)
+    for row in sums.select("block", "sums").mapInArrow(run, "block int, levels binary, cells array<long>").toLocalIterator():
+        level[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(bytes(row["levels"]), np.uint8)
+        cells += row["cells"]
+    value = np.arange(limit)
+    n, s, s2 = cells.sum(), (cells * value).sum(), (cells * value * value).sum()
+    return level, int(_level(np.array([HEAVY]), mean)[0]), 1 + max(0.0, (s2 - s * s / max(1.0, n)) / max(1.0, s) - 1)
 
 
 def small_size(histogram: dict[int, int], mean_list: float, percent: int) -> int:
@@ -190,7 +221,7 @@ _POSTINGS = pa.schema([("bucket", pa.int32()), ("posts", pa.binary())])
 _POST = np.dtype([("key", "<u4"), ("class", "<i8")])
 
 
-def _second_pass(n: int, percent: int, level, heavy: int, boundary: int, buckets: int):
+def _second_pass(n: int, percent: int, bits: int, level, heavy: int, boundary: int, buckets: int):
     """Postings (key, class) of each class once a task, as one blob a bucket.
 
     Light keys go to the bucket of the key; those of heavy tokens to further buckets, by class.
@@ -222,7 +253,7 @@ def _second_pass(n: int, percent: int, level, heavy: int, boundary: int, buckets
                 if len(seen) > 300_000:
                     seen.clear()
                 seen.add(c)
-                low = levels[(grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                low = levels[(grams & np.uint64((1 << bits) - 1)).astype(np.int64)]
                 keys = (low.astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6))
                 t = int(least_overlap(np.int64(m), percent))
                 got = []
@@ -238,13 +269,13 @@ def _second_pass(n: int, percent: int, level, heavy: int, boundary: int, buckets
                 for k, single in got:
                     held.append((k, c, single))
                     size += len(k)
-                if size >= 1_000_000:
+                if size >= FLUSH_POSTS:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 _LISTS = "list long, class long, weight long"
@@ -270,6 +301,7 @@ def _lists(buckets: int):
             weight = np.zeros(len(first), np.int64)
             weight[np.flatnonzero(many)[once]] = equal
         rows = np.repeat(weight > 0, length)
+        give_back()
         return pa.table(
             {
                 "list": pa.array((np.repeat(names, length)[rows] >> np.uint64(1)).astype(np.int64)),
@@ -308,11 +340,11 @@ def _picked_sets(n: int, picked):
                 cells_out.append(np.minimum(counts, 65535).astype(np.uint16).tobytes() if counts.max() > 255 else counts.astype(np.uint8).tobytes())
             yield table_batch(_SETS, **{"class": classes}, grams=grams_out, cells=cells_out)
 
-    return run
+    return tidy(run)
 
 
 def _bitmap(table: pa.Table) -> pa.Table:
-    bits = np.zeros(1 << (PICK_BITS - 10), np.uint8)
+    bits = np.zeros((1 << PICK_BITS) // PICK_PARTS, np.uint8)
     bits[np.asarray(table.column("bit"), np.int64) & (len(bits) - 1)] = 1
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
@@ -333,21 +365,26 @@ def _verified(percent: int):
                     keep_b.append(b[i])
             yield table_batch(schema, a=keep_a, b=keep_b)
 
-    return run
+    return tidy(run)
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    if 2 * pairs.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
-    sets = sets.join(ids, "class", "left_semi")
+    """The pairs (a, b) that link; sets of a meet those of b by shuffle, at any size.
+
+    Up to MOST_BROADCAST pairs reach the sets by broadcast, so only sets that a
+    pair names are shuffled; more pairs are joined by shuffle.  A class may come
+    from several of its documents, so a pair may come again.
+    """
     one = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
-    # A class may come from several of its documents, so the same pair may come again.
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long").distinct()
+    if pairs.count() <= MOST_BROADCAST:
+        one = one.join(F.broadcast(pairs), "a")
+        two = two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    else:
+        one = one.hint("merge").join(pairs, "a")
+    return one.join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long").distinct()
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _unpruned(percent: int):
@@ -419,21 +456,25 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    first = staged(docs.mapInArrow(_first_pass(n, percent), "doc_id long, class long, n long, block int, cells binary, counts binary"))
+    # About eight words a cell, whatever the size, up to the bound of what is broadcast.
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    bits = min(SKETCH_BITS, max(16, int(words / 8).bit_length()))
+    first = staged(docs.mapInArrow(_first_pass(n, bits), "doc_id long, class long, n long, block int, cells binary, counts binary"))
     members = first.where("block is null").select("doc_id", "class", "n")
-    classes = members.where("class is not null").groupBy("class").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = staged(members.where("class is not null").groupBy("class").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
 
     # Sizes above 2,000 always scan lists; one row of this table a size at most.
-    sizes = {r["n"]: r["c"] for r in members.where("n > 0").groupBy(F.least("n", F.lit(2001)).alias("n")).agg(F.count("*").alias("c")).collect()}
+    rows = members.where("n > 0").groupBy(F.least("n", F.lit(2001)).alias("size")).agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).collect()
+    sizes = {r["size"]: r["c"] for r in rows}
+    tokens = sum(r["tokens"] for r in rows)
     if not sizes:
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("tested_links"))
-    levels, heavy, mean_list = _levels(first.where("block is not null").select("block", "cells", "counts"))
+    levels, heavy, mean_list = _levels(first.where("block is not null").select("doc_id", "block", "cells", "counts"), bits)
     sizes.pop(2001, 0)
     boundary = small_size(sizes, mean_list, percent)
-    total = members.where("n > 0").agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0]
-    buckets = max(12, int(total // 1_000_000) + 1)
+    buckets = max(12, int(tokens * (100 - percent) / 100 // 1_000_000) + 1)
     level = sc.broadcast(levels)
-    posts = docs.mapInArrow(_second_pass(n, percent, level, heavy, boundary, buckets), "bucket int, posts binary")
+    posts = docs.mapInArrow(_second_pass(n, percent, bits, level, heavy, boundary, buckets), "bucket int, posts binary")
     lists = posts.groupBy("bucket").applyInArrow(_lists(buckets), _LISTS).groupBy("list", "class").agg(F.sum("weight").alias("weight"))
     lists = staged(lists.join(classes.select("class", "n"), "class"))
 
@@ -443,13 +484,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     scored = lists.join(share, "class")
     hub = scored.groupBy("list").agg(F.max(F.struct("share", F.expr("-class").alias("neg"), "n")).alias("h")).select("list", F.expr("-h.neg").alias("hub"), F.col("h.n").alias("hub_n"))
     ratio = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) AND class <> hub")
-    star = lists.join(hub, "list").where(ratio).groupBy(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+    star = lists.join(hub, "list").where(ratio).groupBy(F.col("class").alias("a"), F.col("hub").alias("b"))
     star = staged(star.agg(F.sum("weight").alias("shared"), F.min(F.least("n", "hub_n")).alias("n")).where(F.col("shared") * 400 >= F.col("n") * (100 - percent)).select("a", "b"))
 
     wanted = lists.select("class").distinct().join(classes, "class").select(F.pmod(F.xxhash64("least"), F.lit(1 << PICK_BITS)).alias("bit")).distinct()
     bits = np.zeros(1 << (PICK_BITS - 3), np.uint8)
-    step = len(bits) >> 10
-    for row in wanted.withColumn("part", F.shiftright("bit", PICK_BITS - 10)).groupBy("part").applyInArrow(_bitmap, "part long, bits binary").toLocalIterator():
+    step = len(bits) // PICK_PARTS
+    for row in wanted.withColumn("part", F.floor(F.col("bit") / ((1 << PICK_BITS) // PICK_PARTS))).groupBy("part").applyInArrow(_bitmap, "part long, bits binary").toLocalIterator():
         bits[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(bytes(row["bits"]), np.uint8)
     picked = sc.broadcast(bits)
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << PICK_BITS)).alias("bit")
@@ -458,11 +499,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     labels = components(edges)
     placed = lists.join(labels, F.col("class") == F.col("node"), "left").select("list", "class", "n", F.coalesce("comp", "class").alias("comp"))
-    rest = _dealt(placed).join(sets.select("class", "cells"), "class")
+    rest = _dealt(placed).join(sets.select("class", "cells").hint("merge"), "class")
     loose = staged(rest.groupBy("list", "kind", "i", "j").applyInArrow(_unpruned(percent), "a long, b long").distinct())
     more = staged(_exact(loose, sets, percent))
     every = edges.unionByName(more)
-    labels = components(every)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     links = every.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     named = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "class"))
