@@ -22,7 +22,6 @@ def same_bit(degrees: float) -> float:
 def differing_bits(spark: SparkSession, bits: int, degrees: float, factor: float) -> DataFrame:
     """(n, close, far): chance of n differing bits at an angle, and at ``factor`` times it."""
     i = F.col("id")
-    choose = F.lit(0.0)
     logs = [math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) for k in range(bits + 1)]
     choose = F.element_at(F.array(*map(F.lit, logs)), (i + 1).cast("int"))
 
