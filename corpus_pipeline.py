@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import crc_fold, read_table, staged
+from nearfield.llm.common import crc_fold, read_table, scratch, staged
 from nearfield.llm.decontam import contamination
 from nearfield.llm.mixing import mix
 from nearfield.llm.ngram_join import ngram_jaccard
@@ -23,7 +23,8 @@ MOST_BROADCAST = 2_000_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic (score below 0.5)."""
-    model = train(docs, read_table(spark, sf_dir, "labels"), crc_fold("doc_id", 5) != 0)
+    with scratch(spark):
+        model = train(docs, read_table(spark, sf_dir, "labels"), crc_fold("doc_id", 5) != 0)
     return _aside(docs, lambda d: score(d, model).where("score < 0.5"))
 
 
@@ -32,7 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows with one doc_id all stay or go together; rows without doc_id stay.
     """
-    going = staged(ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    with scratch(spark):
+        going = staged(ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id").distinct(), stays=True)
     if going.count() <= MOST_BROADCAST:  # else texts and ids are joined by shuffle
         going = F.broadcast(going)
     return docs.join(going, "doc_id", "left_anti").select(docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import pickle
@@ -35,10 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/nearfield/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside go at the end, but for those that ask to stay."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def staged(df: DataFrame, stays: bool = False) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    if _scopes and not stays:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
