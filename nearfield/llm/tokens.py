@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import table_batch
+from nearfield.llm.common import small_batches, table_batch, tidy
 
 #: Texts of one call of the tokenizer, in characters.
 CALL_CHARS = 200_000
@@ -81,6 +81,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 1 <<
     stay as they are; extra columns are ignored; an empty table gives no rows.
     path: the tokenizer's .json file, at the same place on every executor.
     """
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
@@ -110,4 +111,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 1 <<
             n_bytes = [len(t.encode()) for t in texts]
             yield table_batch(schema, doc_id=batch.column(0).to_pylist(), n_bytes=n_bytes, n_tokens=counts, over_limit=[c > limit for c in counts])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
