@@ -18,13 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD_MEMORY, column_bytes, sent, small_batches, tidy
+from nearfield.llm.common import column_bytes, sent, small_batches, tidy, without
 
 #: Most labelled texts that the fit reads, chosen by hash.
 MOST_TRAINING = 6_000
 #: A run without white space counts as words of this many bytes at most.
 WORD_BYTES = 192
-BEGIN = "▁".encode()
+#: Count that every piece has in every language besides what is seen.
+UNSEEN = 0.05
+#: Stands for the mark of a word's begin in the pieces; no UTF-8 text has this byte.
+BEGIN = b"\xff"
+#: Distinct words remembered per task.
+REMEMBERED = 400_000
 ANY_LETTER = re.compile(r"[^\W\d_]")
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -37,7 +42,7 @@ def vocabulary(path: str) -> dict[bytes, int]:
     pieces: dict[bytes, int] = {bytes([b]): b for b in range(256)}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            pieces.setdefault(model.id_to_piece(i).encode(), len(pieces))
+            pieces.setdefault(model.id_to_piece(i).encode().replace("▁".encode(), BEGIN), len(pieces))
     return pieces
 
 
@@ -57,14 +62,19 @@ class Segmenter:
         # Every beginning of a piece, with the piece's number or ``none``: a substring that is not here begins none.
         begins = {p[:k]: self.none for p in pieces for k in range(1, len(p))}
         self.get = (begins | pieces).get
+        self.bytes_first = all(self.get(bytes([b])) == b for b in range(256))
 
     def edges(self, words: list[bytes]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(begin, end, rows, piece numbers) of the pieces in words of one length, by end."""
         n, out = len(words[0]), []
         get, none = self.get, self.none
+        every = np.arange(len(words))
+        letters = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).astype(np.int64)
         for b in range(n):
-            rows, live = np.arange(len(words)), words
-            for e in range(b + 1, min(n, b + self.longest) + 1):
+            rows, live = every, words
+            if self.bytes_first:
+                out.append((b, b + 1, every, letters[:, b]))
+            for e in range(b + 1 + self.bytes_first, min(n, b + self.longest) + 1):
                 found = [get(w[b:e], -1) for w in live]
                 ids = np.array(found)
                 if (ids < 0).any():
@@ -154,10 +164,7 @@ def fit(rows, pieces: dict[bytes, int], rounds: int = 2) -> Model | None:
                     for lang, c in counts[w[len(BEGIN) :]].items():
                         own[i, at[lang]] = c
                 segmenter.expected(part, own, table, total)
-        total[-1] = 0
-        shared = total.sum(1, keepdims=True)
-        smooth = total + 0.5 * (shared + 0.01 * start[:, None] / start.sum()) / max(1.0, float(shared.sum())) * size * 0.1
-        smooth[:-1] += 0.01
+        smooth = total + UNSEEN
         smooth[-1] = 0
         table = smooth / smooth.sum(0, keepdims=True)
     prior = np.array([texts[x] for x in languages], float)
@@ -178,9 +185,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     lang_pred: the likeliest learned language, ties to the first in order; ``und``
     with score 0 for a null text, one without letters, or without a model.  score:
-    its posterior probability.  docs must have no columns of those names; other
+    its posterior probability.  Columns of those names are replaced; other
     columns and repeated rows stay.
     """
+    docs = without(docs, "lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     small_batches(docs.sparkSession)
@@ -195,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
         def learn(new: list[bytes]):
             nonlocal logs
-            if len(place) + len(new) > WORD_MEMORY:
+            if len(place) + len(new) > REMEMBERED:
                 place.clear()
                 logs = np.zeros((0, width))
             parts, at = [logs], len(logs)
@@ -215,7 +223,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             def flush():
                 nonlocal size
                 new = {w for words in held for w in words}
-                if len(place) + len(new) > WORD_MEMORY:
+                if len(place) + len(new) > REMEMBERED:
                     learn(list(new))  # the memory is emptied first, so all of them
                 else:
                     learn([w for w in new if w not in place])
