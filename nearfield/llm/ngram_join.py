@@ -333,7 +333,7 @@ def _picked_sets(n: int, picked):
                 if len(seen) > 300_000:
                     seen.clear()
                 seen.add(c)
-                cells = 1 << max(3, int(len(grams) - 1).bit_length())
+                cells = cell_count(len(grams))
                 counts = np.bincount((mixed(grams) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
                 classes.append(c)
                 grams_out.append(short(grams))
@@ -343,6 +343,11 @@ def _picked_sets(n: int, picked):
     return tidy(run)
 
 
+def cell_count(n: int) -> int:
+    """Cells in which the n hashes of a set are counted: one to two hashes a cell."""
+    return 1 << max(3, (n - 1).bit_length() - 1)
+
+
 def short(grams: np.ndarray) -> bytes:
     """The upper 48 bits of each hash; within two sets of thousands they part as well as 64."""
     return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -405,7 +410,7 @@ def _unpruned(percent: int):
         across = len(np.unique(side)) > 1  # only pairs of the two sides
         counts = []
         for k, cells in enumerate(table.column("cells").to_pylist()):
-            width = 1 << max(3, int(n[k] - 1).bit_length())
+            width = cell_count(int(n[k]))
             counts.append(np.frombuffer(cells, np.uint8 if len(cells) == width else np.uint16).astype(np.uint16))
         width = np.array([len(x) for x in counts])
         out_a, out_b = [], []
