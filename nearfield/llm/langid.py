@@ -87,11 +87,11 @@ class Segmenter:
                     out.append((b, e, rows[piece], ids[piece]))
         return sorted(out, key=lambda x: x[1])
 
-    def forward(self, words: list[bytes], table: np.ndarray, edges: list) -> tuple[list[np.ndarray], np.ndarray]:
-        """Scaled prefix sums at each place, and the log of each word's total; table: piece x language."""
-        n, m = len(words[0]), len(words)
+    def sums(self, m: int, n: int, table: np.ndarray, edges: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled prefix sums of m words of length n at each place, and the log of each place's scale; table: piece x language."""
         alpha = [np.ones((m, table.shape[1]))] + [np.zeros((m, table.shape[1])) for _ in range(n)]
         log = np.zeros((m, table.shape[1]))
+        logs = [log] * (n + 1)
         done = 0
         for e in range(1, n + 1):
             while done < len(edges) and edges[done][1] == e:
@@ -99,25 +99,29 @@ class Segmenter:
                 alpha[e][rows] += alpha[b][rows] * table[ids]
                 done += 1
             if e % 24 == 0:  # keeps the numbers in range; scales the places still in reach alike
-                top = np.maximum(np.max(alpha[max(0, e - self.longest) : e + 1], axis=0), 1e-300)
+                top = np.maximum(np.where(alpha[e] > 0, alpha[e], np.max(alpha[max(0, e - self.longest) : e + 1], axis=0)), 1e-300)
+                log = log + np.log(top)
                 for k in range(max(0, e - self.longest), e + 1):
                     alpha[k] = alpha[k] / top
-                log += np.log(top)
-        return alpha, log + np.log(np.maximum(alpha[n], 1e-300))
+                    logs[k] = log
+                logs[e + 1 :] = [log] * (n - e)
+        return alpha, logs
+
+    def forward(self, words: list[bytes], table: np.ndarray, edges: list) -> tuple[list[np.ndarray], np.ndarray]:
+        """Scaled prefix sums at each place, and the log of each word's total; table: piece x language."""
+        alpha, logs = self.sums(len(words), len(words[0]), table, edges)
+        return alpha, logs[-1] + np.log(np.maximum(alpha[-1], 1e-300))
 
     def expected(self, words: list[bytes], counts: np.ndarray, table: np.ndarray, total: np.ndarray) -> None:
         """Adds to ``total`` (piece x language) the expected piece counts; counts: word x language."""
         edges = self.edges(words)
         n, m = len(words[0]), len(words)
-        alpha = [np.ones((m, table.shape[1]))] + [np.zeros((m, table.shape[1])) for _ in range(n)]
-        beta = [np.zeros((m, table.shape[1])) for _ in range(n)] + [np.ones((m, table.shape[1]))]
-        for b, e, rows, ids in edges:
-            alpha[e][rows] += alpha[b][rows] * table[ids]
-        for b, e, rows, ids in sorted(edges, key=lambda x: -x[0]):
-            beta[b][rows] += beta[e][rows] * table[ids]
-        scale = counts / np.maximum(alpha[n], 1e-290)
+        back = sorted(((n - e, n - b, rows, ids) for b, e, rows, ids in edges), key=lambda x: x[1])
+        with np.errstate(divide="ignore"):
+            alpha, beta = ([np.log(x) + y for x, y in zip(*self.sums(m, n, table, way), strict=True)] for way in (edges, back))
+            weight = np.log(counts) - np.where(np.isneginf(alpha[n]), 0, alpha[n])
         for b, e, rows, ids in edges:
-            np.add.at(total, ids, alpha[b][rows] * table[ids] * beta[e][rows] * scale[rows])
+            np.add.at(total, ids, np.exp(alpha[b][rows] + beta[n - e][rows] + weight[rows]) * table[ids])
 
 
 def by_length(words) -> dict[int, list[bytes]]:
@@ -153,12 +157,13 @@ def fit(rows, pieces: dict[bytes, int], rounds: int = 2) -> Model | None:
     for piece, i in pieces.items():
         start[i] = 0.1 ** (1 + 0.25 * len(piece))
     table = np.repeat(start[:, None] / start.sum(), len(languages), 1)
-    groups = by_length(BEGIN + w for w in counts if len(w) <= 40)
+    groups = by_length(BEGIN + w for w in counts)
     for _ in range(rounds):
         total = np.zeros((size + 1, len(languages)))
-        for words in groups.values():
-            for k in range(0, len(words), 4096):
-                part = words[k : k + 4096]
+        for n, words in groups.items():
+            step = max(1, 4096 * 41 // max(41, n))  # the longer the words, the more places each has
+            for k in range(0, len(words), step):
+                part = words[k : k + step]
                 own = np.zeros((len(part), len(languages)))
                 for i, w in enumerate(part):
                     for lang, c in counts[w[len(BEGIN) :]].items():

@@ -167,6 +167,39 @@ def test_forward_sums_all_segmentations():
     assert counts[0, 0] + counts[1, 0] + 2 * counts[2, 0] + 2 * counts[3, 0] == pytest.approx(3)
 
 
+def test_expected_counts_of_long_words():
+    from nearfield.llm.langid import Segmenter
+
+    pieces = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3}
+    table = np.array([[4.0], [3.0], [2.0], [1.0], [0.0]]) * 1e-9
+    s = Segmenter(pieces)
+    for word in (b"a" * 193, b"abbab" * 38):
+        counts = np.zeros((5, 1))
+        s.expected([word, word], np.array([[2.0], [1.0]]), table, counts)
+        assert counts[0, 0] + counts[1, 0] + 2 * counts[2, 0] + 2 * counts[3, 0] == pytest.approx(3 * len(word))
+
+
+def test_languages_without_blanks_are_learned():
+    from nearfield.llm import langid
+    from nearfield.llm.tokens import tokenizer_path
+
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + k) for k in range(300)]
+    own = {"aa": letters[:200], "zz": letters[100:]}
+    texts = [(lang, "".join(rng.choice(own[lang]) for _ in range(rng.randint(30, 60)))) for lang in ("aa", "zz") for _ in range(80)]
+    assert all(len(w) > 40 for _, t in texts for w in langid.words_of(t.encode()))
+    pieces = langid.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    model = langid.fit([(t.encode(), lang) for lang, t in texts if rng.random() < 0.7], pieces)
+    s = langid.Segmenter(pieces)
+
+    def guess(text):
+        z = model.prior + sum(s.forward([langid.BEGIN + w], model.table, s.edges([langid.BEGIN + w]))[1][0] for w in langid.words_of(text.encode()))
+        return model.languages[int(z.argmax())]
+
+    fresh = [(lang, "".join(rng.choice(own[lang]) for _ in range(60))) for lang in ("aa", "zz") for _ in range(30)]
+    assert sum(guess(t) == lang for lang, t in fresh) >= 57
+
+
 def test_lm_equals_plain_model(spark, some_dir):
     from nearfield.llm.lm import EXPONENTS, exponent
 
