@@ -3,7 +3,9 @@
 DataFrame functions only.  Candidates are long runs of key characters; for each,
 the encoding is inferred (hex, alphanumeric, base64) and three statistics are
 compared with what ordinary strings show: chi-squared uniformity over the
-alphabet, runs of character classes, and serial correlation.  Their combined
+alphabet, runs of character classes, and serial correlation.  Runs with fewer than
+two digits are compared with ordinary words instead, joinedAsHere among them: they
+change case as often as random letters, but hold fewer of the rarer case.  The combined
 z gives a p-value; a Benjamini-Hochberg rule for each class of length and
 encoding, over all candidates of the table, decides.  Only its histogram (a few
 hundred rows) reaches the driver.
@@ -24,9 +26,12 @@ ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}+"
+TWO_DIGITS = "[0-9].*[0-9]"
 
 #: What ordinary strings show: chance that two characters agree, rate of class changes, serial correlation.  Fixed values.
 ORDINARY_REPEAT, ORDINARY_RUNS, ORDINARY_SERIAL = 0.075, 0.15, 0.45
+#: The same for runs with fewer than two digits: chance that two characters agree, share of the rarer case.  Fixed values.
+WORDS_REPEAT, WORDS_CASE = 0.06, 0.3
 #: Share of false finds among the strings that the battery adds.
 FALSE_SHARE = 0.01
 STEP = 0.25
@@ -37,6 +42,7 @@ def battery(value: Column) -> Column:
 
     Marks that part words are left out, so that they do not count as changes of class.
     """
+    few = ~value.rlike(TWO_DIGITS)
     value = F.regexp_replace(value, "[^A-Za-z0-9]", "")
     n = F.char_length(value).cast("double")
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c).cast("double"))
@@ -44,27 +50,30 @@ def battery(value: Column) -> Column:
     squares = F.aggregate(counts, F.lit(0.0), lambda t, c: t + c * c)
     pairs = n * (n - 1) / 2
     # Chi-squared for k letters is k * squares / n - n: k falls out of the comparison with the ordinary repeat rate.
-    uniform = (pairs * ORDINARY_REPEAT - (squares - n) / 2) / F.sqrt(pairs * ORDINARY_REPEAT * (1 - ORDINARY_REPEAT))
+    repeat = F.when(few, WORDS_REPEAT).otherwise(ORDINARY_REPEAT)
+    uniform = (pairs * repeat - (squares - n) / 2) / F.sqrt(pairs * repeat * (1 - repeat))
+    rarer = F.least(*(F.char_length(F.regexp_replace(value, c, "")) for c in ("[^a-z]++", "[^A-Z]++"))).cast("double")
+    cased = (rarer - n * WORDS_CASE) / F.sqrt(n * WORDS_CASE * (1 - WORDS_CASE))
     runs = F.char_length(F.regexp_replace(value, "[a-z]++|[A-Z]++|[0-9]++", "x")).cast("double")
     changing = (runs - 1 - (n - 1) * ORDINARY_RUNS) / F.sqrt((n - 1) * ORDINARY_RUNS * (1 - ORDINARY_RUNS))
     mean = F.aggregate(codes, F.lit(0.0), lambda t, c: t + c) / n
     spread = F.aggregate(codes, F.lit(0.0), lambda t, c: t + (c - mean) * (c - mean))
     lag = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: (a - mean) * (b - mean))
     serial = F.coalesce(F.try_divide(F.aggregate(lag, F.lit(0.0), lambda t, c: t + c), spread), F.lit(1.0))
-    return (uniform + changing + (ORDINARY_SERIAL - serial) * F.sqrt(n)) / math.sqrt(3)
+    return F.when(few, (uniform + cased) / math.sqrt(2)).otherwise((uniform + changing + (ORDINARY_SERIAL - serial) * F.sqrt(n)) / math.sqrt(3))
 
 
 def stratum(value: Column) -> Column:
-    """Encoding and class of length, as one small number."""
+    """Encoding and class of length, as one small number; words do not raise the thresholds of runs with digits."""
     n = F.char_length(value)
-    encoding = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 0).when(value.rlike("^[A-Za-z0-9]+$"), 1).otherwise(2)
+    encoding = F.when(~value.rlike(TWO_DIGITS), 3).when(~value.rlike("[A-Za-z]"), 4).when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 0).when(value.rlike("^[A-Za-z0-9]+$"), 1).otherwise(2)
     return encoding * 8 + F.when(n < 24, 0).when(n < 32, 1).when(n < 48, 2).when(n < 80, 3).otherwise(4)
 
 
 def candidates(text: Column) -> Column:
-    """Runs of key characters with digits and letters: spans with value."""
-    mixed = lambda v: v.rlike("[0-9].*[0-9]") & v.rlike("(?:[A-Za-z0-9][^A-Za-z0-9]*+){16}") & v.rlike("[A-Za-z]")
-    return F.coalesce(F.when(text.rlike(CANDIDATE), S.matches(text, CANDIDATE, mixed)), S.none())
+    """Runs of key characters, long enough for the tests without their marks: spans with value."""
+    long = lambda v: v.rlike("(?:[A-Za-z0-9][^A-Za-z0-9]*+){16}")
+    return F.coalesce(F.when(text.rlike(CANDIDATE), S.matches(text, CANDIDATE, long)), S.none())
 
 
 def thresholds(histogram: dict[tuple[int, int], int]) -> dict[int, int]:

@@ -368,6 +368,32 @@ def test_added_spans(spark):
     assert all(out[20 + k] == f"see {p} there" for k, p in enumerate(plain))
 
 
+def test_keys_of_few_digits_are_tested(spark):
+    from nearfield.llm.secrets import find_secrets
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(7)
+    keys = [(n, "".join(rng.choices(letters, k=n))) for n in (20, 24, 32, 40) for _ in range(100)]
+    one = [(n, k[:5] + "7" + k[6:]) for n, k in keys if n > 30]
+    mixed = [(n, k) for n in (20, 24) for k in ["".join(rng.choices(letters + "0123456789", k=n)) for _ in range(100)]]
+    words = "get user name from data base connection error handler value list index table row column count file path open read write class model view client request response format update query cache load start event manager factory config default".split()
+    camel = ["".join(w.title() for w in rng.sample(words, 6)) for _ in range(150)]
+    plain = camel + ["_".join(rng.sample(words, 6)) for _ in range(50)] + ["-".join(rng.sample(words, 6)).upper() for _ in range(50)] + ["internationalizationandlocalization", "=" * 40, "-" * 30 + "a", "12345678901234567890"]
+    every = keys + one + mixed + [(0, p) for p in plain]
+    docs = spark.createDataFrame([(i, f"see {v} there") for i, (_, v) in enumerate(every)], "doc_id long, text string")
+    found = {r["doc_id"] for r in find_secrets(docs).where("size(spans) > 0").collect()}
+
+    def rate(which):
+        return sum(i in found for i in which) / len(which)
+
+    at = 0
+    for part, least in ((keys, {20: 0.3, 24: 0.5, 32: 0.95, 40: 0.98}), (one, {32: 0.95, 40: 0.98}), (mixed, {20: 0.9, 24: 0.95})):
+        for n, share in least.items():
+            assert rate([at + i for i, (m, _) in enumerate(part) if m == n]) >= share, (n, share, len(part))
+        at += len(part)
+    assert rate(range(at, len(every))) <= 0.02
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
