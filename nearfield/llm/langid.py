@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import column_bytes, sent, small_batches, tidy, without
 
-#: Most labelled texts that the fit reads, chosen by hash.
+#: About so many labelled texts the fit reads, chosen by hash.
 MOST_TRAINING = 6_000
+#: Beside these, about so many texts of each language are read, or all it has.
+LEAST_TRAINING = 500
 #: A run without white space counts as words of this many bytes at most.
 WORD_BYTES = 192
 #: Count that every piece has in every language besides what is seen.
@@ -139,8 +141,8 @@ class Model:
     prior: np.ndarray
 
 
-def fit(rows, pieces: dict[bytes, int], rounds: int = 2) -> Model | None:
-    """From (text bytes, language) pairs."""
+def fit(rows, pieces: dict[bytes, int], rounds: int = 2, known: dict[str, int] | None = None) -> Model | None:
+    """From (text bytes, language) pairs; known: texts by language for the prior, those of ``rows`` unless given."""
     counts: dict[bytes, Counter] = {}
     texts: Counter = Counter()
     for text, lang in rows:
@@ -172,17 +174,29 @@ def fit(rows, pieces: dict[bytes, int], rounds: int = 2) -> Model | None:
         smooth = total + UNSEEN
         smooth[-1] = 0
         table = smooth / smooth.sum(0, keepdims=True)
-    prior = np.array([texts[x] for x in languages], float)
+    prior = np.array([(known or texts)[x] for x in languages], float)
     return Model(pieces, languages, table, np.log(prior / prior.sum()))
 
 
 def train(docs: DataFrame, train_fold: Column, pieces: dict[bytes, int]) -> Model | None:
-    """Fits on at most about MOST_TRAINING texts with a language, chosen by the hash of their id."""
+    """Fits on about MOST_TRAINING texts with a language, chosen by the hash of their id, and more of a language with few.
+
+    Of each language about LEAST_TRAINING texts are read at least, or all where
+    it has no more than twice as many; the prior counts all texts.
+    """
     pool = docs.select("doc_id", "text", "lang").where(train_fold).where("lang is not null and text is not null")
-    total = pool.agg(F.count("*")).first()[0]
-    cut = int((min(1.0, MOST_TRAINING / max(1, total)) - 0.5) * 2.0**64)
-    rows = pool.where(F.xxhash64("doc_id", F.lit(21)) <= F.lit(max(-(2**63), min(2**63 - 1, cut)))).select("text", "lang")
-    return fit(((r["text"].encode(), r["lang"]) for r in rows.toLocalIterator()), pieces)
+    known = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = min(1.0, MOST_TRAINING / max(1, sum(known.values())))
+
+    def cut(part: float) -> int:
+        return max(-(2**63), min(2**63 - 1, int((part - 0.5) * 2.0**64)))
+
+    limits = [(x, cut(1.0 if n <= 2 * LEAST_TRAINING else LEAST_TRAINING / n)) for x, n in known.items() if n * share < LEAST_TRAINING]
+    limit = F.lit(cut(share))
+    if limits:
+        limit = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in limits for v in pair)), F.col("lang")), limit)
+    rows = pool.where(F.xxhash64("doc_id", F.lit(21)) <= limit).select("text", "lang")
+    return fit(((r["text"].encode(), r["lang"]) for r in rows.toLocalIterator()), pieces, known=known)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

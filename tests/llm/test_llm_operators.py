@@ -200,6 +200,16 @@ def test_languages_without_blanks_are_learned():
     assert sum(guess(t) == lang for lang, t in fresh) >= 57
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    from nearfield.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_TRAINING", 20)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 1000 = 7, 'rare words', 'usual text') AS text", "IF(id % 1000 = 7, 'ra', 'us') AS lang")
+    model = langid.train(docs, F.lit(True), {bytes([b]): b for b in range(256)})
+    assert model.languages == ["ra", "us"]
+    assert np.exp(model.prior).tolist() == pytest.approx([0.001, 0.999])
+
+
 def test_lm_equals_plain_model(spark, some_dir):
     from nearfield.llm.lm import EXPONENTS, exponent
 
