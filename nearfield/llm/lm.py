@@ -14,8 +14,10 @@ unknown word.
 The model is never gathered in one place.  Documents are dealt into blocks; a
 block sends its distinct n-grams, with its own training counts, to the buckets
 of their hashes, where counts are summed, and gets back those of the n-grams it
-holds.  From them it builds the part of the automaton that its texts can reach
-and walks each text from left to right.
+holds.  From them it builds the part of the automaton that its texts can reach.
+The walk over each text is evaluated as array lookups: each token's arc is looked
+up by its n-gram and failure arcs are added for all tokens at once.  No state is
+carried from token to token; the results equal those of the walk.
 """
 
 from __future__ import annotations
