@@ -7,6 +7,7 @@ import ctypes
 import functools
 import pickle
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -30,34 +31,50 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests) a folder of this machine is used.
+    That is ``spark.checkpoint.dir``, or the context's checkpoint folder.  Where
+    both are unset a folder of this machine serves a local master (tests);
+    a cluster's executors could not see it, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: tables between steps need a folder that all executors share")
+        base = _own_dir()
     return f"{base.rstrip('/')}/nearfield/{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+_open = threading.local()
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables staged inside go at the end, but for those that ask to stay."""
-    _scopes.append([])
+    """Tables staged inside, by this thread, go at the end, but for those that ask to stay."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in scopes.pop():
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def staged(df: DataFrame, stays: bool = False) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
+    """Cuts the lineage: writes ``df`` to the shared folder and reads it back.
+
+    The table goes with the ``scratch`` around it; one that stays, or that none is around, goes with the driver.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    if _scopes and not stays:
-        _scopes[-1].append(path)
+    scopes = _open.__dict__.setdefault("scopes", [])
+    if scopes and not stays:
+        scopes[-1].append(path)
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import staged
 
+#: Rows of one node that meet in one task of a join; the smallest neighbours of nodes with more are broadcast.
+HOT = 4096
+#: Hot nodes up to this number are broadcast (16 MB); more are left to the shuffle.
+MOST_HOT = 500_000
+
+
+def _hung(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """``rows(u, v)`` with the m of their u, from ``low(u, m, degree)``; rows of hot nodes are not gathered."""
+    hot = low.where(F.col("degree") > HOT).select("u", "m")
+    many = hot.count()
+    if not 0 < many <= MOST_HOT:
+        return rows.join(low.select("u", "m"), "u")
+    found = rows.join(F.broadcast(hot), "u", "left")
+    rest = found.where("m IS NULL").drop("m").join(low.where(F.col("degree") <= HOT).select("u", "m"), "u")
+    return found.where("m IS NOT NULL").unionByName(rest)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges(a, b)``; comp: the smallest node it reaches.
@@ -18,10 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
+        large = _hung(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        hung = _hung(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = staged(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         # A forest of stars: each node hangs once, and nothing hangs on a node that hangs itself.
         ends = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("hangs")), F.struct(F.col("v").alias("x"), F.lit(0).alias("hangs")))).alias("e")).select("e.*")

@@ -17,7 +17,7 @@ from nearfield.llm.common import crc_fold, read_table
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.ngram_join import ngram_jaccard
 
-    return ngram_jaccard(read_table(spark, sf_dir, "documents"), n=5, percent=80).drop("tested_links")
+    return ngram_jaccard(read_table(spark, sf_dir, "documents"), n=5, percent=80).drop("class_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
