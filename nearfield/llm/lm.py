@@ -13,11 +13,13 @@ unknown word.
 
 The model is never gathered in one place.  Documents are dealt into blocks; a
 block sends its distinct n-grams, with its own training counts, to the buckets
-of their hashes, where counts are summed, and gets back those of the n-grams it
-holds.  From them it builds the part of the automaton that its texts can reach.
-The walk over each text is evaluated as array lookups: each token's arc is looked
-up by its n-gram and failure arcs are added for all tokens at once.  No state is
-carried from token to token; the results equal those of the walk.
+of their hashes, one packed message for each bucket that it has n-grams for.
+There counts are summed, and the block gets back those of its n-grams.  Sums over
+the whole model are taken once, from one row a bucket.  From the counts a block
+builds the part of the automaton that its texts can reach: states, their failure
+arcs, and a sorted table of arcs.  One walk from left to right carries the state
+of each text from token to token and adds up weights; texts are walked side by
+side, long ones in segments whose first state the tokens before them give.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WordHashes, give_back, hashed_words, joined, small_batches
+from nearfield.llm.common import WordHashes, give_back, hashed_words, joined, scratch, small_batches, staged
 
 #: Text bytes of a block, and n-grams of a bucket, about.
 BLOCK_BYTES = 16_000_000
@@ -39,6 +41,8 @@ STRENGTH = 2.0
 #: Exponents for which sums of powers of the counts are taken; b is read off between them.
 EXPONENTS = np.linspace(0.2, 1.0, 17)
 END, START = np.uint64(1), np.uint64(2)
+#: Tokens of a segment of a walk.
+SEGMENT = 512
 
 
 @dataclass
@@ -80,20 +84,29 @@ def encode(texts: list[bytes], train: np.ndarray, order: int) -> Block:
     return Block(starts, np.repeat(train, np.diff(starts)), grams, at, histories)
 
 
-def planes(counts: np.ndarray) -> bytes:
-    """Small numbers in 32 bits, byte planes apart, which compress well."""
-    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 or 64 bits as byte planes apart; the planes of small numbers compress to nothing."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
 
 
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def unplanes(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """Sorted hashes as planes of their differences."""
+    return planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, 8), dtype=np.uint64)
 
 
 def _texts(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
-SENT = "block int, bucket int, `order` int, grams binary, counts binary, starts long"
+SENT = "block int, bucket int, grams array<binary>, counts array<binary>, starts long"
 
 
 def _send(order: int, buckets: int):
@@ -101,94 +114,153 @@ def _send(order: int, buckets: int):
         block = encode(_texts(table), np.asarray(table.column("train")), order)
         number = table.column("block")[0].as_py()
         starts = int(np.asarray(table.column("train")).sum())
-        out = {k: [] for k in ("block", "bucket", "order", "grams", "counts", "starts")}
         give_back()
         width = (1 << 64) // buckets + 1
-        for k in range(order):
-            g = block.grams[k]
-            counts = np.bincount(block.at[k][block.train], minlength=len(g))
-            cut = np.searchsorted(g, np.array([b * width for b in range(buckets)], np.uint64))
-            cut = np.append(cut, len(g))
-            for b in range(buckets):
-                out["block"].append(number)
-                out["bucket"].append(b)
-                out["order"].append(k)
-                out["grams"].append(g[cut[b] : cut[b + 1]].tobytes())
-                out["counts"].append(planes(counts[cut[b] : cut[b + 1]]))
-                out["starts"].append(starts if not k and not b else 0)
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)})
+        counts = [np.bincount(block.at[k][block.train], minlength=len(g)).astype("<u4") for k, g in enumerate(block.grams)]
+        held = np.unique(np.concatenate([g // np.uint64(width) for g in block.grams])).astype(np.int64)
+        cuts = [[np.searchsorted(g, np.array([b * width for b in held], np.uint64)), np.append(np.searchsorted(g, np.array([(b + 1) * width for b in held[:-1]], np.uint64)), len(g))] for g in block.grams]
+        return pa.table(
+            {
+                "block": pa.array([number] * len(held), pa.int32()),
+                "bucket": pa.array(held, pa.int32()),
+                "grams": pa.array([[packed(g[lo[i] : hi[i]]) for g, (lo, hi) in zip(block.grams, cuts, strict=True)] for i in range(len(held))], pa.list_(pa.binary())),
+                "counts": pa.array([[planes(c[lo[i] : hi[i]]) for c, (lo, hi) in zip(counts, cuts, strict=True)] for i in range(len(held))], pa.list_(pa.binary())),
+                "starts": pa.array([starts if not i else 0 for i in range(len(held))], pa.int64()),
+            }
+        )
 
     return run
 
 
-REPLY = "block int, bucket int, `order` int, counts binary, tokens long, types long, starts long, powers array<double>"
-
-
-def _sum(table: pa.Table) -> pa.Table:
-    """The summed counts of a bucket's n-grams of one order, back to every block that asked."""
-    grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-    distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-    counts = np.concatenate([unplanes(x) for x in table.column("counts").to_pylist()])
-    total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-    some = np.unique(total[total > 0].astype(float), return_counts=True)
-    ends = np.cumsum([len(g) for g in grams])[:-1]
-    n = table.num_rows
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "bucket": table.column("bucket"),
-            "order": table.column("order"),
-            "counts": pa.array([planes(x) for x in np.split(total[at], ends)], pa.binary()),
-            "tokens": pa.array([int(total.sum())] * n, pa.int64()),
-            "types": pa.array([int((total > 0).sum())] * n, pa.int64()),
-            "starts": pa.array([sum(table.column("starts").to_pylist())] * n, pa.int64()),
-            "powers": pa.array([[float((some[0] ** b * some[1]).sum()) for b in EXPONENTS]] * n, pa.list_(pa.float64())),
-        }
-    )
+REPLY = "block int, bucket int, counts array<binary>, tokens array<long>, types array<long>, powers array<array<double>>, starts long"
+
+
+def _sum(order: int):
+    """The summed counts of a bucket's n-grams, back to every block that asked; block -1 is the bucket's own sums by order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked, sent = table.column("grams").to_pylist(), table.column("counts").to_pylist()
+        back: list[list[bytes]] = [[] for _ in asked]
+        tokens, types, powers = [], [], []
+        for k in range(order):
+            grams = [unpacked(x[k]) for x in asked]
+            distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([unplanes(x[k], 4) for x in sent]), minlength=len(distinct)).astype(np.int64)
+            for reply, part in zip(back, np.split(total[at], np.cumsum([len(g) for g in grams])[:-1]), strict=True):
+                reply.append(planes(np.minimum(part, 2**32 - 1).astype("<u4")))
+            value, many = np.unique(total[total > 0].astype(float), return_counts=True)
+            tokens.append(int(total.sum()))
+            types.append(int((total > 0).sum()))
+            powers.append([float((value**b * many).sum()) for b in EXPONENTS])
+        none, n = [None], table.num_rows
+        return pa.table(
+            {
+                "block": pa.array(table.column("block").to_pylist() + [-1], pa.int32()),
+                "bucket": pa.array(table.column("bucket").to_pylist() + table.column("bucket").to_pylist()[:1], pa.int32()),
+                "counts": pa.array(back + none, pa.list_(pa.binary())),
+                "tokens": pa.array(none * n + [tokens], pa.list_(pa.int64())),
+                "types": pa.array(none * n + [types], pa.list_(pa.int64())),
+                "powers": pa.array(none * n + [powers], pa.list_(pa.list_(pa.float64()))),
+                "starts": pa.array(none * n + [sum(table.column("starts").to_pylist())], pa.int64()),
+            }
+        )
+
+    return run
 
 
 class Automaton:
     """The states and arcs that a block's texts can reach.
 
-    arcs[k]: by n-gram of order k + 1, the log10 weight of its arc, or nan where there is none.
-    fails[k]: by history of order k, the weight of its failure arc.
+    State 0 is the empty history.  Each order has one state for the start of a text
+    and one for each n-gram of the block; longer histories have higher numbers.
+    fail, fail_weight: by state.  An arc's key is state * words + word, in order;
+    arc_weight and arc_next belong to the keys.  The arcs of state 0 are by word.
     """
 
     def __init__(self, counts: list[np.ndarray], block: Block, total: int, types: int, texts: int, scale: float, exponents: list[float]):
-        self.block = block
-        low = np.log10((counts[0] + 0.1) / (total + 0.1 * (types + 1)))
-        self.base, self.arcs, self.fails, self.start_fail = low, [low], [], []
-        for k in range(1, len(counts)):
-            # p(w | h') and c(h) of each n-gram, from any token at which it stands.
+        self.block, self.order, self.words = block, len(counts), max(1, len(counts[0]))
+        self.base = np.log10((counts[0] + 0.1) / (total + 0.1 * (types + 1)))
+        firsts = np.cumsum([1] + [len(c) + 1 for c in counts[:-1]])  # by order: its start state; its n-grams follow
+        self.begin = int(firsts[self.order - 2]) if self.order > 1 else 0
+        self.fail = np.zeros(firsts[-1] if self.order > 1 else 1, np.int64)
+        self.fail_weight = np.zeros(len(self.fail))
+        self.next_word = firsts[0] + 1 + np.arange(len(counts[0])) if self.order > 1 else np.zeros(len(counts[0]), np.int64)
+        self.keys, self.arc_weight, self.arc_next = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for k in range(1, self.order):
+            # States of the histories of k words.  Any token at which an n-gram stands tells its parts.
+            token = np.zeros(len(counts[k - 1]), np.int64)
+            token[block.at[k - 1]] = np.arange(len(block.at[k - 1]))
+            seen = np.concatenate(([texts], counts[k - 1])).astype(float)
+            strength = scale * np.maximum(seen, 1.0) ** exponents[k - 1]
+            own = slice(firsts[k - 1], firsts[k - 1] + len(seen))
+            self.fail_weight[own] = np.log10(strength / (seen + strength))
+            self.fail[own] = np.concatenate(([firsts[k - 2]], firsts[k - 2] + 1 + block.at[k - 2][token])) if k > 1 else 0
+            # Their arcs: the n-grams of k + 1 words that are in the training texts.
+            arcs = np.flatnonzero(counts[k] > 0)
             token = np.zeros(len(counts[k]), np.int64)
             token[block.at[k]] = np.arange(len(block.at[k]))
-            history = block.histories[k - 1]
-            seen = np.where(history >= 0, counts[k - 1][history], texts)
-            strength = scale * np.maximum(seen, 1.0) ** exponents[k - 1]
-            weight = np.log10(strength / (seen + strength))
-            lower = self.arcs[k - 1][block.at[k - 1]] if k == 1 else self._walk(k - 1)
-            p = (counts[k] + strength[token] * 10 ** lower[token]) / (seen[token] + strength[token])
-            self.arcs.append(np.where(counts[k] > 0, np.log10(p), np.nan))
-            self.fails.append(weight)
-
-    def _walk(self, order: int) -> np.ndarray:
-        """The log10 probability of each token: its arc from the longest history, or failure arcs until one has it."""
-        out = self.arcs[order][self.block.at[order]]
-        for k in range(order, 0, -1):
-            missing = np.isnan(out)
-            if not missing.any():
-                break
-            if k == order:
-                paid = np.zeros(len(out))
-            paid = np.where(missing, paid + self.fails[k - 1], paid)
-            out = np.where(missing, self.arcs[k - 1][self.block.at[k - 1]] + paid, out)
-        return out
+            token = token[arcs]
+            history = block.histories[k - 1][token] + 1
+            state, word = firsts[k - 1] + history, block.at[0][token]
+            lower, _ = self.step(self.fail[state], word)
+            weight = np.log10((counts[k][arcs] + strength[history] * 10**lower) / (seen[history] + strength[history]))
+            after = firsts[k] + 1 + arcs if k < self.order - 1 else firsts[k - 1] + 1 + block.at[k - 1][token]
+            keys = state * self.words + word
+            order = np.argsort(keys)  # longer histories have higher keys than all before
+            self.keys = np.concatenate((self.keys, keys[order]))
+            self.arc_weight = np.concatenate((self.arc_weight, weight[order]))
+            self.arc_next = np.concatenate((self.arc_next, after[order]))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight, next state) of reading ``word`` in ``state``: failure arcs until a state has an arc for it."""
+        weight, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left, state, word = np.arange(len(state)), state.copy(), word
+        while len(left):
+            if len(self.keys):
+                key = state * self.words + word
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = (self.keys[at] == key) & (state > 0)
+                weight[left[hit]] += self.arc_weight[at[hit]]
+                after[left[hit]] = self.arc_next[at[hit]]
+            else:
+                hit = np.zeros(len(left), bool)
+            root = state == 0
+            weight[left[root]] += self.base[word[root]]
+            after[left[root]] = self.next_word[word[root]]
+            on = ~(hit | root)
+            left, state, word = left[on], state[on], word[on]
+            weight[left] += self.fail_weight[state]
+            state = self.fail[state]
+        return weight, after
+
+    def walk(self) -> np.ndarray:
+        """The log10 probability of each text: all segments side by side, token by token."""
+        first, words = self.block.first, self.block.at[0]
+        lengths = np.diff(first)
+        pieces = -(-lengths // SEGMENT)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = first[:-1][text] + number * SEGMENT
+        end = np.minimum(begin + SEGMENT, first[1:][text])
+        # The state at a segment's begin follows from the few tokens before it.
+        state = np.where(number == 0, self.begin, 0)
+        for back in range(self.order - 1, 0, -1):
+            inner = np.flatnonzero(number > 0)
+            state[inner] = self.step(state[inner], words[begin[inner] - back])[1]
+        score = np.zeros(len(text))
+        by_length = np.argsort(begin - end, kind="stable")  # longest first, so that those still running come first
+        begin, end, state = begin[by_length], end[by_length], state[by_length]
+        running, part = len(begin), np.zeros(len(begin))
+        for t in range(int((end - begin).max(initial=0))):
+            running = int(np.searchsorted(begin[:running] - end[:running], -t))
+            weight, state[:running] = self.step(state[:running], words[begin[:running] + t])
+            part[:running] += weight
+        score[by_length] = part
+        return np.bincount(text, weights=score, minlength=len(lengths))
 
     def scores(self) -> tuple[np.ndarray, np.ndarray]:
-        """(score, base score) of each text: sums along its tokens from left to right."""
-        first = self.block.first[:-1]
-        walked = self._walk(len(self.arcs) - 1)
-        return np.add.reduceat(walked, first), np.add.reduceat(self.base[self.block.at[0]], first)
+        """(score, base score) of each text."""
+        return self.walk(), np.add.reduceat(self.base[self.block.at[0]], self.block.first[:-1])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -199,23 +271,30 @@ def exponent(powers: np.ndarray, types: int) -> float:
     return float(np.interp(types, powers, EXPONENTS))
 
 
-def _score(order: int, scale: float):
+@dataclass
+class Sums:
+    """Sums over the whole model, by order."""
+
+    tokens: int
+    types: list[int]
+    powers: list[np.ndarray]
+    texts: int
+
+
+def _score(order: int, scale: float, sums: Sums):
+    exponents = [exponent(sums.powers[k - 1], sums.types[k]) for k in range(1, order)]
+
     def run(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
         train = np.asarray(docs.column("train"))
         block = encode(_texts(docs), train, order)
-        got = replies.select(["order", "bucket", "counts", "tokens", "types", "starts", "powers"]).to_pylist()
-        got.sort(key=lambda r: (r["order"], r["bucket"]))
-        counts = [np.concatenate([unplanes(r["counts"]) for r in got if r["order"] == k]) for k in range(order)]
-        total = sum(r["tokens"] for r in got if not r["order"])
-        types = [sum(r["types"] for r in got if r["order"] == k) for k in range(order)]
-        powers = [np.sum([r["powers"] for r in got if r["order"] == k], axis=0) for k in range(order)]
-        texts = max(r["starts"] for r in got)
-        score, base = Automaton(counts, block, total, types[0], texts, scale, [exponent(powers[k - 1], types[k]) for k in range(1, order)]).scores()
+        got = [r for _, r in sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True), key=lambda r: r[0])]
+        counts = [np.concatenate([unplanes(r[k], 4) for r in got]).astype(np.int64) for k in range(order)]
+        score, base = Automaton(counts, block, sums.tokens, sums.types[0], sums.texts, scale, exponents).scores()
         give_back()
         known = np.add.reduceat((counts[0] > 0)[block.at[0]].astype(np.int64), block.first[:-1])
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": pa.array(~train), "n_tokens": pa.array(np.diff(block.first), pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": pa.array(~train), "n_tokens": pa.array(np.diff(block.first), pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array([sums.tokens] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
 
@@ -226,15 +305,25 @@ def lm_scores(docs: DataFrame, train: str, order: int = 2, scale: float = STRENG
     train: SQL condition on doc_id, never null, that holds for the texts to learn
     from; the others are held out.  Tokens are the words, A-Z lowered, and one
     end.  A null text is empty: its one token is the end.  base_score: of the
-    unigrams alone.  Without training texts all counts are 0.  Repeated rows count each; extra columns
-    are ignored; an empty table gives no rows.
+    unigrams alone.  Without training texts all counts are 0.  A null doc_id stays.
+    Very long texts are read whole, by the task of their block.  Repeated rows count each;
+    extra columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.expr(train).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8, int(size // BLOCK_BYTES) + 1)
     buckets = max(8, int(size * order // 8 // BUCKET_GRAMS) + 1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(max(blocks, 12), "block")
-    sent = dealt.groupBy("block").applyInArrow(_send(order, buckets), SENT)
-    replies = sent.groupBy("bucket", "order").applyInArrow(_sum, REPLY)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, scale), SCORED)
+    with scratch(spark):
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(max(blocks, 12), "block")
+        asked = dealt.groupBy("block").applyInArrow(_send(order, buckets), SENT)
+        replies = staged(asked.groupBy("bucket").applyInArrow(_sum(order), REPLY))
+        whole = replies.where("block = -1")
+        by_order = whole.select(F.posexplode(F.arrays_zip("tokens", "types", "powers")), "starts")
+        found = by_order.groupBy("pos").agg(F.sum("col.tokens").alias("tokens"), F.sum("col.types").alias("types"), F.sum("starts").alias("starts"), *(F.sum(F.col("col.powers")[i]).alias(f"p{i}") for i in range(len(EXPONENTS)))).orderBy("pos").collect()
+        if not found:
+            return spark.createDataFrame([], SCORED)
+        sums = Sums(found[0]["tokens"], [r["types"] for r in found], [np.array([r[f"p{i}"] for i in range(len(EXPONENTS))]) for r in found], found[0]["starts"])
+        scored = dealt.groupBy("block").cogroup(replies.where("block >= 0").select("block", "bucket", "counts").groupBy("block")).applyInArrow(_score(order, scale, sums), SCORED)
+        return staged(scored, stays=True)
