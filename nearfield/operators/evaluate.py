@@ -35,6 +35,16 @@ def recall_of_large_truth(truth: DataFrame, result: DataFrame, k: int) -> DataFr
     return hits.crossJoin(queries).select((F.col("hits") / (F.col("nq") * k)).alias("recall"))
 
 
+def ratio_of_large_truth(truth: DataFrame, result: DataFrame, k: int) -> DataFrame:
+    """(ratio): as ``distance_ratio``, against the first k of a larger truth."""
+    return distance_ratio(first_k(truth, k), result, k)
+
+
+def evaluate_large_truth(truth: DataFrame, result: DataFrame, k: int) -> DataFrame:
+    """(recall, ratio) against a truth file of more than k neighbours a query, in any order; one row."""
+    return recall_of_large_truth(truth, result, k).crossJoin(ratio_of_large_truth(truth, result, k))
+
+
 def evaluate(truth: DataFrame, result: DataFrame, k: int) -> DataFrame:
     """(recall, ratio), one row."""
     return recall(truth, result, k).crossJoin(distance_ratio(truth, result, k))

@@ -104,6 +104,18 @@ def lsh_series(records: DataFrame, implementation: int, key: int, x: str, y: str
     return (rows if tables is None else rows.where(F.col("tables") == tables)).select(x, y)
 
 
+def facets(records: DataFrame, by: tuple[str, ...] = ("k", "THREAD_QUEUE_SIZE", "tables")) -> DataFrame:
+    """The values of the fields ``by`` that occur together, each with the number of its records: one plot each."""
+    return records.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def of_facet(records: DataFrame, **values: int) -> DataFrame:
+    """The records of one plot, by field and value."""
+    for field, value in values.items():
+        records = records.where(F.col(field) == value)
+    return records
+
+
 def lsh_recall_vs_time(records: DataFrame, n_queries: int, k: int, queue: int = 128) -> DataFrame:
     """(implementation, keyImplementation, tables, recall, qps)"""
     rows = with_qps(records, n_queries).where((F.col("k") == k) & (F.col("THREAD_QUEUE_SIZE") == queue) & (F.col("keyImplementation") > 0))

@@ -156,12 +156,12 @@ _sketch("minhash", minhash(ONES), minhash)
 _sketch("onebit", one_bit(ONES), one_bit)
 
 
-# --- hash tables
+# --- hash tables: their keys grow with the data; up to 4,096 rows they have the four bits that the SQL states
 
 
 def _index(s: SparkSession, d: str) -> tuple[S.LshIndex, DataFrame, DataFrame]:
     data, queries = split(s, d)
-    return S.LshIndex(KEYS).build(data), data, queries
+    return S.LshIndex(KEYS).sized(data.count()).build(data), data, queries
 
 
 _DATA = "SELECT table_id, bucket_key, count(*) AS n FROM idx WHERE id % 10 <> 0 GROUP BY ALL"
@@ -170,7 +170,7 @@ register(
     "lsh_bucket_offsets",
     f'WITH {O.lsh(KEYS)} SELECT table_id, bucket_key, n, coalesce(sum(n) OVER (PARTITION BY table_id ORDER BY bucket_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM ({_DATA})',
 )(lambda s, d: _index(s, d)[0].offsets())
-register("lsh_bucket_members", f"WITH {O.lsh(KEYS)} SELECT table_id, bucket_key, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM idx WHERE id % 10 <> 0 GROUP BY table_id, bucket_key")(
+register("lsh_bucket_members", f"WITH {O.lsh(KEYS)} SELECT table_id, bucket_key, id // {S.MEMBERS} AS part, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM idx WHERE id % 10 <> 0 GROUP BY table_id, bucket_key, part")(
     lambda s, d: _index(s, d)[0].members().withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 )
 register("lsh_candidates", f"WITH {O.lsh(KEYS)} SELECT q_id, d_id FROM cand")(lambda s, d: (lambda i, _, q: i.candidates(q))(*_index(s, d)))
@@ -179,7 +179,7 @@ register("lsh_candidates", f"WITH {O.lsh(KEYS)} SELECT q_id, d_id FROM cand")(la
 def _lsh(name: str, family, make=None, sketch=None):
     def run(s, d):
         data, queries, bounds = _ready(s, d) if make else (*split(s, d), None)
-        return shown(S.LshIndex(make(bounds) if make else family).build(data).query(data, queries, K, sketch=sketch, candidates=C))
+        return shown(S.LshIndex(make(bounds) if make else family).sized(data.count()).build(data).query(data, queries, K, sketch=sketch, candidates=C))
 
     register(name, sql_of(O.lsh_search(family, K, sketch, C)))(run)
 
@@ -326,3 +326,167 @@ _DENSE = "(SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM e)"
 register("text_roundtrip", f"WITH {O.VECTORS} " + _COMPONENTS.format(v="v", t=_DENSE))(_text_roundtrip)
 register("fvecs_roundtrip", f"WITH {O.VECTORS} " + _COMPONENTS.format(v="v", t=_DENSE))(_fvecs_roundtrip)
 register("truth_roundtrip", sql_of(O.exact("cosine", K)))(_truth_roundtrip)
+
+
+def _word_vectors(s: SparkSession, d: str) -> DataFrame:
+    from nearfield.sources.scratch import scratch_dir
+    from nearfield.sources.vector_text import read_word_vectors
+
+    line = F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" "), F.array_join(F.transform("v", lambda x: x.cast("string")), " "))
+    vectors(s, d).select("id", line.alias("value")).coalesce(1).sortWithinPartitions("id").select("value").write.text(path := scratch_dir(s))
+    return _components(read_word_vectors(s, path, 300, DIM))
+
+
+def _prepared(kind: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from nearfield.sources.fvecs import write_fvecs
+        from nearfield.sources.prepare import prepare
+        from nearfield.sources.scratch import scratch_dir
+        from nearfield.sources.vector_text import read_vectors
+
+        own, out = scratch_dir(s), [scratch_dir(s), scratch_dir(s)]
+        if kind == "sift":
+            data, queries = split(s, d)
+            write_fvecs(data, f"{own}/data.fvecs")
+            write_fvecs(queries, f"{own}/queries.fvecs")
+            prepare(s, kind, *out, data=f"{own}/data.fvecs", queries=f"{own}/queries.fvecs")
+        else:
+            line = F.concat(F.lit("word "), F.array_join(F.transform("v", lambda x: x.cast("string")), " "))
+            e = vectors(s, d)
+            e.select("id", line.alias("value")).coalesce(1).sortWithinPartitions("id").select("value").write.text(own)
+            prepare(s, kind, *out, path=own, n=e.count(), dim=DIM, n_queries=50)
+        return _components(read_vectors(s, out[0])).withColumn("side", F.lit("data")).unionByName(_components(read_vectors(s, out[1])).withColumn("side", F.lit("query")))
+
+    return run
+
+
+_SIDES = "SELECT 'data' AS side, * FROM ({a}) UNION ALL SELECT 'query', * FROM ({b})"
+_RENUMBERED = "(SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM {t})"
+register("word_vectors_text", f"WITH {O.VECTORS} " + _COMPONENTS.format(v="v", t=f"(SELECT * FROM {_DENSE} WHERE id < 300)"))(_word_vectors)
+register("prepare_sift", f"WITH {O.VECTORS} " + _SIDES.format(a=_COMPONENTS.format(v="v", t=_RENUMBERED.format(t="d")), b=_COMPONENTS.format(v="v", t=_RENUMBERED.format(t="q"))))(_prepared("sift"))
+register(
+    "prepare_glove",
+    f"WITH {O.VECTORS}, n AS (SELECT * FROM {_DENSE}), c AS (SELECT id FROM n ORDER BY {_KEY}, id LIMIT 50), x AS (SELECT * FROM n WHERE id IN (SELECT id FROM c)), y AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM c)) "
+    + _SIDES.format(a=_COMPONENTS.format(v="v", t=_RENUMBERED.format(t="y")), b=_COMPONENTS.format(v="v", t=_RENUMBERED.format(t="x"))),
+)(_prepared("glove"))
+
+
+def _listing(kind: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from nearfield.sources import neighbours_text as N
+
+        found = N.first_reported(shown(S.exact_knn(*split(s, d), K, "cosine")), 5)
+        return found if kind == "first" else N.formatted(found) if kind == "all" else N.ids_only(found)
+
+    return run
+
+
+_FIRST = f"r AS ({O.rounded(O.exact('cosine', K)[1])}), f AS (SELECT * FROM r WHERE rank <= 5)"
+_HEAD = "SELECT -2 AS q, 0 AS r, count(DISTINCT q_id)::VARCHAR AS value FROM f UNION ALL SELECT -1, 0, max(rank)::VARCHAR FROM f"
+register("first_reported", f"WITH {O.VECTORS}, {_FIRST} SELECT * FROM f")(_listing("first"))
+register("result_listing", f"WITH {O.VECTORS}, {_FIRST} {_HEAD} UNION ALL SELECT DISTINCT q_id, 0, q_id || ':' FROM f UNION ALL SELECT q_id, rank, printf('%d %.6f', d_id, dist) FROM f")(_listing("all"))
+register("result_ids", f"WITH {O.VECTORS}, {_FIRST} {_HEAD} UNION ALL SELECT q_id, rank, d_id::VARCHAR FROM f")(_listing("ids"))
+
+
+def _distance_list(s: SparkSession, d: str) -> DataFrame:
+    from nearfield.sources.neighbours_text import read_distances
+    from nearfield.sources.scratch import scratch_dir
+
+    found = shown(S.exact_knn(*split(s, d), C, "cosine"))
+    lines = found.select(F.col("dist").cast("string").alias("value")).unionByName(found.select(F.concat(F.lit("Q"), F.col("q_id").cast("string"), F.lit(":")).alias("value")).distinct())
+    lines.write.text(path := scratch_dir(s))
+    return E.distance_histogram(read_distances(s, path))
+
+
+register(
+    "distance_list",
+    f"WITH {O.VECTORS}, dd AS ({O.rounded(O.exact('cosine', C)[1])}), r AS (SELECT min(dist) AS lo, max(dist) AS hi FROM dd) SELECT least(floor((dist - lo) / (hi - lo) * 80) + 1, 80)::INTEGER AS bin, count(*) AS n FROM dd, r GROUP BY bin",
+)(_distance_list)
+
+
+def _metrics_listed(by: tuple[str, ...]):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from nearfield.sources import metrics
+        from nearfield.sources.scratch import scratch_dir
+
+        path = scratch_dir(s)
+        for method in (3, 5):
+            metrics.append_metrics(X.of_facet(X.published(s), implementation=method), path)
+        return metrics.listed(metrics.read_metrics(s, path, by), by).select("place", "implementation", "sketchDim", "THREAD_QUEUE_SIZE", "scanTime", "recall", "avgDistance")
+
+    return run
+
+
+_PLACES = 'WITH {x} SELECT (row_number() OVER (ORDER BY {by}, implementation, "sketchDim") - 1)::INTEGER AS place, implementation, "sketchDim", "THREAD_QUEUE_SIZE", "scanTime"::BIGINT AS "scanTime", recall, "avgDistance" FROM x'
+register("metrics_by_recall", _PLACES.format(x=_RECORDS, by='recall, "scanTime"'))(_metrics_listed(("recall", "scanTime")))
+register("metrics_by_sketch", _PLACES.format(x=_RECORDS, by='"sketchDim"'))(_metrics_listed(("sketchDim",)))
+register("metrics_by_queue", _PLACES.format(x=_RECORDS, by='"THREAD_QUEUE_SIZE"'))(_metrics_listed(("THREAD_QUEUE_SIZE",)))
+register("exp_facets", f'WITH {_RECORDS} SELECT k, "THREAD_QUEUE_SIZE", tables, count(*) AS n FROM x GROUP BY ALL')(lambda s, d: X.facets(X.published(s)))
+register("exp_tables_facets", f'WITH {_RECORDS} SELECT implementation AS "keyImplementation", "sketchDim" % 5 AS tables, count(*) AS n FROM x GROUP BY ALL')(lambda s, d: X.facets(_as_tables(s), ("keyImplementation", "tables")))
+register("exp_lsh_series", f'WITH {_RECORDS} SELECT "sketchDim" AS "bucketKeyBits", recall FROM x WHERE implementation = 3 AND "sketchDim" % 5 = 4')(lambda s, d: X.lsh_series(_as_tables(s), 2, 3, "bucketKeyBits", "recall", 4))
+
+
+def _judged_whole(large: bool):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        data, queries = split(s, d)
+        found = S.sketch_knn(data, queries, SIMHASH, K, C)
+        truth = S.exact_knn(data, queries, 4 * K if large else K, "cosine")
+        judged = E.evaluate_large_truth(truth, found, K) if large else E.evaluate(truth, found, K)
+        return _rounded(_rounded(judged, "recall"), "ratio")
+
+    return run
+
+
+_BOTH = "SELECT (SELECT recall FROM ({})) AS recall, (SELECT round(avg(r / t), 6) FROM (SELECT q_id, sum(dist) AS t FROM truth GROUP BY q_id) JOIN (SELECT q_id, sum(dist) AS r FROM res GROUP BY q_id) USING (q_id)) AS ratio"
+register("evaluate_sketch", _judge_sql(O.sketch_search(SIMHASH, K, C), _BOTH.format(_RECALL)))(_judged_whole(False))
+register("evaluate_large_truth", _judge_sql(O.sketch_search(SIMHASH, K, C), _BOTH.format(f"SELECT round(count(r.d_id) / (count(DISTINCT t.q_id) * {K})::DOUBLE, 6) AS recall FROM truth t LEFT JOIN res r ON r.q_id = t.q_id AND r.d_id = t.d_id")))(_judged_whole(True))
+
+
+# --- dispatch by code
+
+
+def _coded(s: SparkSession, d: str) -> DataFrame:
+    """Each vector against the one with the next id, by the code of every sketch method."""
+    from nearfield.functions.distances import sketch_distance
+    from nearfield.plans.grid import make_family
+
+    data, queries, bounds = _ready(s, d)
+    out = None
+    for code, groups in _CODED:
+        family = make_family(code, groups, 32, DIM, bounds, 42)
+        hashed = with_hash(data.unionByName(queries) if code in (4, 5) else vectors(s, d), family, "sketch").select("id", "sketch")
+        pairs = hashed.join(hashed.select((F.col("id") - 1).alias("id"), F.col("sketch").alias("next")), "id")
+        rows = pairs.select(F.lit(code).alias("code"), "id", (F.round(sketch_distance(code, F.col("sketch"), F.col("next")), 6) + F.lit(0.0)).alias("dist"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_CODED = ((3, 4), (4, 16), (5, 2), (6, 16))
+_FAMILIES = {3: SimHash(DIM, 4, 32, 42), 4: MinHash(ONES, 16, 42), 5: OneBitMinHash(ONES, 2, 42, bits=32), 6: JL(DIM, 16, 42)}
+register(
+    "sketch_distances_by_code",
+    f"WITH {O.READY}, "
+    + ", ".join(O.hashed(_FAMILIES[c], "u" if c in (4, 5) else "e", f"h{c}") for c, _ in _CODED)
+    + " "
+    + " UNION ALL ".join(f"SELECT {c} AS code, a.id, round({O.SKETCH[_FAMILIES[c].metric]}, 6) + 0.0 AS dist FROM h{c} a JOIN h{c} b ON b.id = a.id + 1" for c, _ in _CODED),
+)(_coded)
+
+
+def _keys_by_code(s: SparkSession, d: str) -> DataFrame:
+    from nearfield.plans.grid import make_family
+
+    e, out = vectors(s, d), None
+    for code in (3, 7):
+        keys = S.LshIndex(make_family(code, 4, 8, DIM, None, 42)).keys(e).select(F.lit(code).alias("code"), "id", "table_id", "bucket_key")
+        out = keys if out is None else out.unionByName(keys)
+    return out
+
+
+_KEYED = {3: SimHash(DIM, 4, 8, 42), 7: CrossPolytope(DIM, 4, 42)}
+register(
+    "hash_keys_by_code",
+    f"WITH {O.VECTORS}, "
+    + ", ".join(O.hashed(f, "e", f"h{c}") for c, f in _KEYED.items())
+    + " "
+    + " UNION ALL ".join(f"SELECT {c} AS code, id, (generate_subscripts(s, 1) - 1)::INTEGER AS table_id, unnest(s) AS bucket_key FROM h{c}" for c in _KEYED),
+)(_keys_by_code)

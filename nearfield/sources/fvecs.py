@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def decode(content: bytes) -> np.ndarray:
@@ -25,23 +24,45 @@ def encode(rows: np.ndarray) -> bytes:
     return np.hstack([np.full((len(rows), 1), rows.shape[1], "<i4"), rows.view("<i4")]).tobytes()
 
 
+def record_length(spark: SparkSession, path: str) -> int:
+    """Bytes of a record, from the first one of the first file with content; 0 where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((str(f.getPath()), f.getLen()) for f in (fs.globStatus(p) or ()) for f in ([f] if f.isFile() else fs.listStatus(f.getPath())))
+    for name, size in files:
+        if size:
+            stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                head = [stream.readByte() & 255 for _ in range(4)]
+            finally:
+                stream.close()
+            dim = int.from_bytes(bytes(head), "little", signed=True)
+            if dim <= 0:
+                raise ValueError("no fvecs content")
+            return 4 + 4 * dim
+    return 0
+
+
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
-    """(id, v) of one or more files: ids from 0 through the files in path order."""
-    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("v", pa.list_(pa.float64()))])
+    """(id, v) of one or more files: ids from 0 through the files in path order.
+
+    All records have one length, so Spark splits large files between them; no
+    file is held whole anywhere.
+    """
+    length = record_length(spark, path)
+    if not length:
+        return spark.createDataFrame([], "id long, v array<double>")
+    records = spark.sparkContext.binaryRecords(path, length).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+    rows = spark.createDataFrame(records, "id long, record binary")
+    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = decode(content)
-                for k in range(0, len(rows), 8192):
-                    part = rows[k : k + 8192].astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(k, k + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], schema=schema)
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, at long, v array<double>")
-    sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return rows.join(starts, "path").select((F.col("start") + F.col("at")).cast("long").alias("id"), "v")
+            if b.num_rows:
+                found = decode(b"".join(b.column(1).to_pylist())).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(found), pa.list_(pa.float64()))], schema=schema)
+
+    return rows.mapInArrow(run, "id long, v array<double>")
 
 
 def write_fvecs(vectors: DataFrame, path: str, rows_at_once: int = 4096) -> None:

@@ -15,6 +15,22 @@ def _own() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share; below a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
-    return f"{base.rstrip('/')}/nearfield/{uuid.uuid4().hex}"
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share; it goes with the driver.
+
+    Where that and the context's checkpoint folder are unset, a folder of this
+    machine serves a local master alone: a cluster's executors could not see it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: files between steps need a folder that all executors share")
+        base = _own()
+    path = f"{base.rstrip('/')}/nearfield/{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    return path

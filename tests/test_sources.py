@@ -42,6 +42,11 @@ def test_fvecs(spark, tmp_path):
     assert fvecs.encode(fvecs.decode(content)) == content
     with pytest.raises(ValueError):
         fvecs.decode(content[:-2])
+    (tmp_path / "b.fvecs").write_bytes(content)
+    both = fvecs.read_fvecs(spark, f"{tmp_path}/[ab].fvecs").orderBy("id").collect()
+    assert [r["id"] for r in both] == list(range(10)) and both[7]["v"] == [2, 2.5, -2]
+    (tmp_path / "none.fvecs").write_bytes(b"")
+    assert fvecs.read_fvecs(spark, f"{tmp_path}/none.fvecs").count() == 0
     a, _ = prepare.prepare(spark, "sift", f"{tmp_path}/d", f"{tmp_path}/q", data=f"{tmp_path}/a.fvecs", queries=f"{tmp_path}/a.fvecs")
     assert a.count() == 5
 
@@ -73,6 +78,8 @@ def test_metrics_append_and_report(spark, tmp_path):
     series = X.report(records, records, 10_000, 1024)
     assert len(series) == 6 and series["recall_vs_time"].count() == 18 and series["buffer_vs_sort"].count() == 0
     assert X.lsh_series(records, 3, 0, "sketchDim", "recall").count() == 9
+    assert [r["sketchDim"] for r in metrics.read_metrics(spark, f"{tmp_path}/m", metrics.BY_SKETCH).collect()][:3] == [32, 32, 32]
+    assert X.of_facet(records, k=1024, THREAD_QUEUE_SIZE=64).count() == sum(r["n"] for r in X.facets(records).where("THREAD_QUEUE_SIZE = 64").collect())
     with pytest.raises(ValueError):
         X.report(records, records, 1, 1, ["nope"])
 

@@ -178,3 +178,13 @@ def test_sketches_do_not_depend_on_partitions(spark):
     a = {r["id"]: r["s"] for r in with_hash(vectors, family, "s").collect()}
     b = {r["id"]: r["s"] for r in with_hash(vectors.repartition(7), family, "s").collect()}
     assert a == b
+
+
+def test_keys_grow_with_the_data():
+    from nearfield.functions.families import CrossPolytope, SimHash
+    from nearfield.operators.search import BUCKET_ROWS, LshIndex, key_bits
+
+    assert [key_bits(n) for n in (0, 100, 4096, 4097, 1 << 20, 1 << 60)] == [4, 4, 4, 5, 12, 31]
+    assert all((1 << key_bits(n)) * BUCKET_ROWS >= n for n in (5_000, 10**6, 10**9))
+    assert LshIndex(SimHash(8, groups=2, bits=4)).sized(1 << 20).family.bits == 12
+    assert LshIndex(CrossPolytope(8, groups=2)).sized(1 << 20).family.groups == 2
