@@ -79,10 +79,18 @@ def staged(df: DataFrame, stays: bool = False) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of a batch of whole texts, for Arrow and for Parquet, where the session still has Spark's defaults."""
-    for key, usual, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512")):
+    """Bounds the rows and bytes of a batch of whole texts, for Arrow and for Parquet, where the session still has Spark's defaults.
+
+    Results are lazy, so the session keeps these bounds; they change no result.
+    """
+    bounds = (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"),
+        ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512"),
+    )
+    for key, usual, bound in bounds:
         if spark.conf.get(key) == usual:
-            spark.conf.set(key, rows)
+            spark.conf.set(key, bound)
 
 
 def give_back() -> None:

@@ -54,6 +54,8 @@ HUB_PART = 1024
 #: Pairs up to this number are broadcast (64 MB) to leave out sets that no pair names; more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 FLUSH_WORDS, FLUSH_POSTS = 300_000, 400_000
+#: Postings of a bucket, about; 16 bytes each, and some 150 more while a task sorts them.
+BUCKET_POSTS = 400_000
 #: A token that so many sets may hold is heavy: its postings are not gathered in one task.
 HEAVY = 200_000
 HEAVY_PARTS = 64
@@ -202,7 +204,7 @@ def _levels(sketched: DataFrame, bits: int) -> tuple[np.ndarray, int]:
 
     step = (1 << bits) // SKETCH_BLOCKS
     level = np.zeros(1 << bits, np.uint8)
-    for row in sums.select("block", "sums").mapInArrow(run, "block int, levels binary").collect():  # one byte a cell: 16 MB at most
+    for row in sums.select("block", "sums").mapInArrow(run, "block int, levels binary").coalesce(4).toLocalIterator():  # one byte a cell: 16 MB at most
         level[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(bytes(row["levels"]), np.uint8)
     return level, int(_level(np.array([HEAVY]), mean)[0])
 
@@ -222,7 +224,7 @@ def small_size(costs: dict[int, tuple[float, float]], percent: int) -> int:
 
 
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("posts", pa.binary())])
-#: 32 bits part the keys of a bucket of a million; two that meet make one longer list, which loses nothing.
+#: 32 bits part the keys of a bucket; two that meet make one longer list, which loses nothing.
 #: n and most, the size and the largest size of a partner, are logarithms, rounded down and up.  The top bit of class marks pairs.
 _POST = np.dtype([("key", "<u4"), ("class", "<u8"), ("n", "<u2"), ("most", "<u2")])
 PAIR = np.uint64(1 << 63)
@@ -590,7 +592,7 @@ def _members(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     keys = {m: int(m - least_overlap(np.int64(m), percent)) + 1 for m in sizes}
     pairs = {m: (p := min(k + 1, m)) * (p - 1) / 2 for m, k in keys.items()}
     posts = sum(c * (100 - percent) / 100 + s for s, c in sizes.values()) + sum(sizes[m][0] * pairs[m] for m in sizes if m <= MOST_SMALL)
-    buckets = max(12, int(posts // 1_000_000) + 1)
+    buckets = max(12, int(posts // BUCKET_POSTS) + 1)
     posts = docs.mapInArrow(_second_pass(n, percent, bits, sc.broadcast(levels), heavy, buckets), "bucket int, posts binary")
     lists = posts.groupBy("bucket").applyInArrow(_lists(buckets, percent), _LISTS).groupBy("list", "pair", "salt", "salts", "class").agg(F.sum("weight").alias("weight"))
     lists = staged(lists.join(classes.select("class", "n"), "class"))
