@@ -224,11 +224,11 @@ register("recall_large_truth", _judge_sql(O.sketch_search(SIMHASH, K, C), f"SELE
 # --- statistics
 
 register("hash_value_histogram", f"WITH {O.READY}, {O.hashed(minhash(ONES), 'u', 'hs')} SELECT value, count(*) AS n FROM ({_OUTPUTS}) GROUP BY value")(lambda s, d: E.hash_histogram(with_hash(*_all_ready(s, d, minhash), "sketch")))
-_SHORT = MinHash(ONES, groups=2, seed=10)
+_LONG_KEY = MinHash(ONES, groups=24, seed=10)
 register(
     "full_key_histogram",
-    f"WITH {O.READY}, {O.hashed(_SHORT, 'u', 'hs')} SELECT lpad(bin(s[1]), 8, '0') || lpad(bin(s[2]), 8, '0') AS full_key, count(*) AS n FROM hs GROUP BY full_key",
-)(lambda s, d: E.key_histogram(with_hash(*_all_ready(s, d, lambda b: MinHash(b, groups=2, seed=10)), "sketch")))
+    f"WITH {O.READY}, {O.hashed(_LONG_KEY, 'u', 'hs')} SELECT array_to_string(list_transform(s, lambda x: lpad(bin(x), 8, '0')), '') AS full_key, count(*) AS n FROM hs GROUP BY full_key",
+)(lambda s, d: E.key_histogram(with_hash(*_all_ready(s, d, lambda b: MinHash(b, groups=24, seed=10)), "sketch")))
 register(
     "distance_histogram",
     f"WITH {O.VECTORS}, dd AS (SELECT round(dist, 6) AS dist FROM ({O.exact('cosine', C)[1]})), r AS (SELECT min(dist) AS lo, max(dist) AS hi FROM dd) SELECT least(floor((dist - lo) / (hi - lo) * 80) + 1, 80)::INTEGER AS bin, count(*) AS n FROM dd, r GROUP BY bin",

@@ -72,7 +72,7 @@ def write_fvecs(vectors: DataFrame, path: str, rows_at_once: int = 4096) -> None
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
     held: list[list[float]] = []
     try:
-        for r in vectors.orderBy("id").select("v").toLocalIterator():
+        for r in vectors.orderBy("id").select("v").toLocalIterator(prefetchPartitions=True):
             held.append(r["v"])
             if len(held) == rows_at_once:
                 out.write(bytearray(encode(np.array(held))))
