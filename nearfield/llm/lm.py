@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WordHashes, give_back, hashed_words, joined, scratch, small_batches, staged
+from nearfield.llm.common import WordHashes, give_back, hashed_words, joined, small_batches
 
 #: Text bytes of a block, and n-grams of a bucket, about.
 BLOCK_BYTES = 16_000_000
@@ -66,7 +66,7 @@ def encode(texts: list[bytes], train: np.ndarray, order: int) -> Block:
         first.append(first[-1] + len(words) + 1)
     tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     starts = np.array(first)
-    offset = np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
+    offset = (np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))).astype(np.int32)
     grams, at, histories = [], [], []
     for k in range(order):
         if not k:
@@ -77,20 +77,20 @@ def encode(texts: list[bytes], train: np.ndarray, order: int) -> Block:
                 moved = np.concatenate((np.zeros(back, np.uint64), tokens[: len(tokens) - back]))
                 columns.append(np.where(offset >= back, moved, START))
             g, i = np.unique(joined(columns, k + 1), return_inverse=True)
-            before = np.concatenate(([0], at[-1][:-1])) if len(tokens) else np.zeros(0, np.int64)
+            before = np.concatenate((np.zeros(1, np.int32), at[-1][:-1]))[: len(tokens)]
             histories.append(np.where(offset >= 1, before, -1))
         grams.append(g)
-        at.append(i)
+        at.append(i.astype(np.int32))
     return Block(starts, np.repeat(train, np.diff(starts)), grams, at, histories)
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """Numbers of 32 or 64 bits as byte planes apart; the planes of small numbers compress to nothing."""
-    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    """Numbers of 32 or 64 bits as byte planes apart, after their width; the planes of small numbers compress to nothing."""
+    return bytes([numbers.itemsize]) + numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
 
 
-def unplanes(data: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T).view(f"<u{data[0]}").ravel()
 
 
 def packed(grams: np.ndarray) -> bytes:
@@ -99,7 +99,7 @@ def packed(grams: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(data, 8), dtype=np.uint64)
+    return np.cumsum(unplanes(data), dtype=np.uint64)
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -145,9 +145,9 @@ def _sum(order: int):
         for k in range(order):
             grams = [unpacked(x[k]) for x in asked]
             distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([unplanes(x[k], 4) for x in sent]), minlength=len(distinct)).astype(np.int64)
+            total = np.bincount(at, weights=np.concatenate([unplanes(x[k]) for x in sent]), minlength=len(distinct)).astype(np.int64)
             for reply, part in zip(back, np.split(total[at], np.cumsum([len(g) for g in grams])[:-1]), strict=True):
-                reply.append(planes(np.minimum(part, 2**32 - 1).astype("<u4")))
+                reply.append(planes(part.astype("<u4" if part.max(initial=0) < 1 << 32 else "<u8")))
             value, many = np.unique(total[total > 0].astype(float), return_counts=True)
             tokens.append(int(total.sum()))
             types.append(int((total > 0).sum()))
@@ -188,8 +188,8 @@ class Automaton:
         self.keys, self.arc_weight, self.arc_next = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         for k in range(1, self.order):
             # States of the histories of k words.  Any token at which an n-gram stands tells its parts.
-            token = np.zeros(len(counts[k - 1]), np.int64)
-            token[block.at[k - 1]] = np.arange(len(block.at[k - 1]))
+            token = np.zeros(len(counts[k - 1]), np.int32)
+            token[block.at[k - 1]] = np.arange(len(block.at[k - 1]), dtype=np.int32)
             seen = np.concatenate(([texts], counts[k - 1])).astype(float)
             strength = scale * np.maximum(seen, 1.0) ** exponents[k - 1]
             own = slice(firsts[k - 1], firsts[k - 1] + len(seen))
@@ -197,8 +197,8 @@ class Automaton:
             self.fail[own] = np.concatenate(([firsts[k - 2]], firsts[k - 2] + 1 + block.at[k - 2][token])) if k > 1 else 0
             # Their arcs: the n-grams of k + 1 words that are in the training texts.
             arcs = np.flatnonzero(counts[k] > 0)
-            token = np.zeros(len(counts[k]), np.int64)
-            token[block.at[k]] = np.arange(len(block.at[k]))
+            token = np.zeros(len(counts[k]), np.int32)
+            token[block.at[k]] = np.arange(len(block.at[k]), dtype=np.int32)
             token = token[arcs]
             history = block.histories[k - 1][token] + 1
             state, word = firsts[k - 1] + history, block.at[0][token]
@@ -281,16 +281,18 @@ class Sums:
     texts: int
 
 
-def _score(order: int, scale: float, sums: Sums):
-    exponents = [exponent(sums.powers[k - 1], sums.types[k]) for k in range(1, order)]
-
+def _score(order: int, scale: float):
     def run(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
         train = np.asarray(docs.column("train"))
         block = encode(_texts(docs), train, order)
-        got = [r for _, r in sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True), key=lambda r: r[0])]
-        counts = [np.concatenate([unplanes(r[k], 4) for r in got]).astype(np.int64) for k in range(order)]
+        whole, *got = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), replies.column("sums").to_pylist(), strict=True), key=lambda r: r[0])
+        by_order = whole[2]  # bucket -1
+        sums = Sums(by_order[0]["tokens"], [r["types"] for r in by_order], [np.array(r["powers"]) for r in by_order], by_order[0]["starts"])
+        exponents = [exponent(sums.powers[k - 1], sums.types[k]) for k in range(1, order)]
+        got = [r for _, r, _ in got]
+        counts = [np.concatenate([unplanes(r[k]) for r in got]).astype(np.int64) for k in range(order)]
         score, base = Automaton(counts, block, sums.tokens, sums.types[0], sums.texts, scale, exponents).scores()
         give_back()
         known = np.add.reduceat((counts[0] > 0)[block.at[0]].astype(np.int64), block.first[:-1])
@@ -315,15 +317,14 @@ def lm_scores(docs: DataFrame, train: str, order: int = 2, scale: float = STRENG
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8, int(size // BLOCK_BYTES) + 1)
     buckets = max(8, int(size * order // 8 // BUCKET_GRAMS) + 1)
-    with scratch(spark):
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(max(blocks, 12), "block")
-        asked = dealt.groupBy("block").applyInArrow(_send(order, buckets), SENT)
-        replies = staged(asked.groupBy("bucket").applyInArrow(_sum(order), REPLY))
-        whole = replies.where("block = -1")
-        by_order = whole.select(F.posexplode(F.arrays_zip("tokens", "types", "powers")), "starts")
-        found = by_order.groupBy("pos").agg(F.sum("col.tokens").alias("tokens"), F.sum("col.types").alias("types"), F.sum("starts").alias("starts"), *(F.sum(F.col("col.powers")[i]).alias(f"p{i}") for i in range(len(EXPONENTS)))).orderBy("pos").collect()
-        if not found:
-            return spark.createDataFrame([], SCORED)
-        sums = Sums(found[0]["tokens"], [r["types"] for r in found], [np.array([r[f"p{i}"] for i in range(len(EXPONENTS))]) for r in found], found[0]["starts"])
-        scored = dealt.groupBy("block").cogroup(replies.where("block >= 0").select("block", "bucket", "counts").groupBy("block")).applyInArrow(_score(order, scale, sums), SCORED)
-        return staged(scored, stays=True)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(max(blocks, 12), "block")
+    asked = dealt.groupBy("block").applyInArrow(_send(order, buckets), SENT)
+    replies = asked.groupBy("bucket").applyInArrow(_sum(order), REPLY)
+    # The model's sums are one row, dealt out to the blocks; the exchanges before are made once.
+    by_order = replies.where("block = -1").select(F.posexplode(F.arrays_zip("tokens", "types", "powers")), "starts").groupBy("pos")
+    powers = F.array(*(F.sum(F.col("col.powers")[i]) for i in range(len(EXPONENTS))))
+    by_order = by_order.agg(F.sum("col.tokens").alias("tokens"), F.sum("col.types").alias("types"), F.sum("starts").alias("starts"), powers.alias("powers"))
+    whole = by_order.agg(F.sort_array(F.collect_list(F.struct("pos", "tokens", "types", "starts", "powers"))).alias("sums"))
+    whole = whole.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(-1).alias("bucket"), F.lit(None).cast("array<binary>").alias("counts"), "sums")
+    back = replies.where("block >= 0").select("block", "bucket", "counts", F.lit(None).cast(whole.schema["sums"].dataType).alias("sums")).unionByName(whole)
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(order, scale), SCORED)
