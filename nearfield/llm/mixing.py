@@ -3,8 +3,9 @@
 Each row draws an exponential key, divided by its quality weight; within a source
 rows are taken in the order of their keys until the budget is used.  Whole epochs
 come first, so only the rest of a budget is sampled.  Running sums are taken over
-a histogram of the keys; only the rows of the one bin in which a source's budget
-ends are put in order.
+a histogram of the keys; the bin in which a source's budget ends is parted again
+until few rows are left to put in order.  Rows with one key (equal or null ids)
+are counted by size and input part first, so no number of them makes a large task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import JAVA_SPACE, staged
 
 BINS = 1 << 10
+#: Rows of the bin in which a budget ends; with more the bin is parted again, as far as keys differ in forty bits.
+MOST_INSIDE = 50_000
+FINEST = 1 << 40
 #: Sources up to this number are broadcast (their number is counted first); more are joined by shuffle.
 MOST_BROADCAST = 100_000
 
@@ -57,6 +61,7 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = (3, 1, 2)
     twice its size).  A null source is a source of its own, last in order.
     Reruns agree: keys depend on doc_id, quality and seed alone; rows with equal doc_id are
     ordered by size, and equal rows are alike.  Sources without words have target 0.
+    Texts of any length are read whole.  An empty table gives no rows.
     Kept columns with the names of the added ones are left out.
     quality: a positive weight; by default from the words' mean length.
     """
@@ -71,26 +76,62 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = (3, 1, 2)
     )
     weight = F.col("_quality") if quality is not None else default_quality(F.col("_text"), F.col("size"))
     rows = rows.withColumn("draw", -F.log(_unit("_id", seed)) / weight)
-    rows = staged(rows.withColumn("bin", F.floor((1 - F.exp(-F.col("draw"))) * BINS).cast("int")).drop("_text", "_quality"))
+    # The result is read from this table, so it goes with the driver.
+    rows = staged(rows.withColumn("slot", F.spark_partition_id()).drop("_text", "_quality"), stays=True)
+    return _taken(rows, weights, share, most).select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", "taken")
 
-    by_bin = staged(rows.groupBy("key", "bin").agg(F.sum("size").alias("words")))
-    plan = staged(targets(by_bin.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, most))
+
+def _bin(bins: int) -> Column:
+    return F.floor((1 - F.exp(-F.col("draw"))) * bins)
+
+
+def _ends(rows: DataFrame, plan: DataFrame, bins: int) -> DataFrame:
+    """(key, rest, bin, before, inside): the bin in which each budget ``rest`` ends, the words before it, and its rows.
+
+    plan: (key, rest, before), before: the words of the bins that ``rows`` leaves out.
+    """
+    by_bin = rows.groupBy("key", _bin(bins).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("inside"))
+    along = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ends = by_bin.withColumn("up_to", F.sum("words").over(along)).join(plan, "key").withColumn("up_to", F.col("up_to") + F.col("before")).where("up_to > rest")
+    ends = ends.groupBy("key", "rest").agg(F.min(F.struct("bin", (F.col("up_to") - F.col("words")).alias("before"), "inside")).alias("end"))
+    return ends.select("key", "rest", "end.bin", "end.before", "end.inside")
+
+
+def _taken(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """``rows(key, size, draw, slot, ..)`` with source_size, target and taken."""
+    small = lambda t: F.broadcast(t) if t.count() <= MOST_BROADCAST else t
+    plan = staged(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, most), stays=True)
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    along = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ends = by_bin.withColumn("up_to", F.sum("words").over(along)).join(plan.select("key", "rest"), "key").where("up_to > rest")
-    ends = ends.groupBy("key").agg(F.min(F.struct("bin", (F.col("up_to") - F.col("words")).alias("before"))).alias("end"))
-    plan = plan.join(ends, "key", "left").select("key", "source_size", "target", "epochs", "rest", F.col("end.bin").alias("end_bin"), F.col("end.before").alias("before"))
-    if plan.count() <= MOST_BROADCAST:
-        plan = F.broadcast(plan)
-    rows = rows.join(plan, "key")
-
-    inside = rows.where("bin = end_bin")
-    order = Window.partitionBy("key").orderBy("draw", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("more", (F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    outside = rows.where("end_bin IS NULL OR bin <> end_bin").withColumn("more", F.when(F.col("end_bin").isNull(), F.col("rest") > 0).otherwise(F.col("bin") < F.col("end_bin")).cast("long"))
-    out = inside.unionByName(outside).withColumn("taken", ((F.col("epochs") + F.col("more")) * F.col("size")).cast("long"))
-    return out.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "size", "source_size", "target", "taken")
+    bins, done = BINS, None
+    left = staged(_ends(rows, plan.select("key", "rest", F.lit(0).cast("long").alias("before")), bins), stays=True)
+    while True:
+        found = left.withColumn("bins", F.lit(bins).cast("long"))
+        last = bins >= FINEST or not left.where(F.col("inside") > MOST_INSIDE).limit(1).count()
+        ready = found if last else found.where(F.col("inside") <= MOST_INSIDE)
+        done = ready if done is None else done.unionByName(ready)
+        if last:
+            break
+        crowded = left.where(F.col("inside") > MOST_INSIDE).select("key", "rest", "bin", "before")
+        inner = rows.join(small(crowded.select("key", "bin")), "key").where(_bin(bins) == F.col("bin")).drop("bin")
+        bins *= BINS
+        left = staged(_ends(inner, crowded.select("key", "rest", "before"), bins), stays=True)
+    plan = plan.join(done.select("key", F.col("bin").alias("end_bin"), "before", "bins"), "key", "left")
+    rows = rows.join(small(plan), "key").withColumn("at", F.floor((1 - F.exp(-F.col("draw"))) * F.col("bins")))
+
+    # Of the end bins: equal rows of one input part are one entry, and entries are put in order.
+    inside = rows.where("at = end_bin")
+    alike = ("key", "draw", "_id", "size", "slot")
+    entries = inside.groupBy(*alike, "rest", "before").agg(F.count("*").alias("rows"))
+    order = Window.partitionBy("key").orderBy("draw", "_id", "size", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0))
+    entries = entries.withColumn("start", start).select(*(F.col(c).alias(f"e_{c}") for c in alike), "start")
+    inside = inside.withColumn("number", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))) - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in alike]
+    fits = F.col("start") + F.col("number") * F.col("size") + F.col("size") / 2 <= F.col("rest")
+    inside = inside.join(entries, same).withColumn("more", fits.cast("long")).drop("number", "start", *(f"e_{c}" for c in alike))
+    outside = rows.where("end_bin IS NULL OR at <> end_bin").withColumn("more", F.when(F.col("end_bin").isNull(), F.col("rest") > 0).otherwise(F.col("at") < F.col("end_bin")).cast("long"))
+    return inside.unionByName(outside).withColumn("taken", ((F.col("epochs") + F.col("more")) * F.col("size")).cast("long"))
 
 
 def _unit(column: str, seed: int) -> Column:
