@@ -40,15 +40,20 @@ LEAST = 0.6
 NEAR = 40
 
 
-def _score(text: Column, kind: str):
+def _tagged(text: Column, spans: Column, kind: str, rank: int) -> Column:
+    """``spans`` with their kind and a score that context words raise."""
     base, more = SCORES[kind]
 
-    def of(s: Column) -> Column:
-        begin = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.lower(F.concat(F.substring(text, begin + 1, s["start"] - begin), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEAR))))
-        return F.lit(base) + F.when(around.rlike(CONTEXT[kind]), more).otherwise(0.0)
+    def score(parts: Column):
+        def of(s: Column) -> Column:
+            begin = F.greatest(s["start"] - NEAR, F.lit(0))
+            around = F.lower(F.concat(S.cut(parts, begin, s["start"] - begin), F.lit(" "), S.cut(parts, s["end"], F.lit(NEAR))))
+            return F.lit(base) + F.when(around.rlike(CONTEXT[kind]), more).otherwise(0.0)
 
-    return of
+        return of
+
+    tag = lambda own: S.bound(S.blocks(text), lambda parts: S.named(own, kind, rank, score(parts)))
+    return S.bound(spans, lambda own: F.when(F.size(own) > 0, tag(own)).otherwise(F.array().cast(S.NAMED)))
 
 
 def pii_spans(text: Column) -> tuple[Column, Column]:
@@ -64,7 +69,7 @@ def pii_spans(text: Column) -> tuple[Column, Column]:
         "local": F.when(text.rlike(LOCAL), S.matches(text, LOCAL, lambda v: F.lit(True))),
     }
     rank = {k: i for i, k in enumerate((*KINDS, *MORE))}
-    tagged = {k: S.named(F.coalesce(c, S.none()), k, rank[k], _score(text, k)) for k, c in found.items()}
+    tagged = {k: _tagged(text, F.coalesce(c, S.none()), k, rank[k]) for k, c in found.items()}
     base = F.concat(*(tagged[k] for k in KINDS))
     more = F.filter(F.concat(*(tagged[k] for k in MORE)), lambda s: s["score"] >= LEAST)
     return base, more
@@ -76,8 +81,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     docs has a string column ``text``; columns of those names are replaced.  base holds
     email, ip, card and phone; spans adds account numbers that pass mod-97, and
     identity and local phone numbers that context words confirm, where they
-    overlap no base span.  A null or empty text has none.  Rows and other
-    columns stay; repeated rows are treated alike.
+    overlap no base span.  A null or empty text has none; the work on a very
+    long one grows with its length, and little faster with its matches.  Rows
+    and other columns stay; repeated rows are treated alike; an empty table
+    gives no rows.
     """
     docs = without(docs, "base", "spans")
     base, more = pii_spans(F.coalesce(F.col("text"), F.lit("")))

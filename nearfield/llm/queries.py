@@ -156,5 +156,50 @@ ordered AS (
 SELECT doc_id, size, source_size, target, ((epochs + (before + size / 2::DOUBLE <= rest)::BIGINT) * size)::BIGINT AS taken FROM ordered
 """
 
-#: The other operators learn, search approximately or add spans by rules; tests hold them against plain versions.
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op4_decontaminate": _OP4, "op7_mix_sources": _OP7}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_DIGITS = "regexp_replace(h, '[^0-9]', '', 'g')"
+_BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_LUHN = f"list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INTEGER WHEN {_DIGITS}[-i]::INTEGER > 4 THEN 2 * {_DIGITS}[-i]::INTEGER - 9 ELSE 2 * {_DIGITS}[-i]::INTEGER END)) % 10 = 0"
+_TURNED = "(substr(replace(h, ' ', ''), 5) || left(h, 4))"
+_MOD97 = f"list_reduce(list_transform(range(1, len({_TURNED}) + 1), lambda i: ascii({_TURNED}[i])::BIGINT - CASE WHEN {_TURNED}[i] <= '9' THEN 48 ELSE 55 END), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) % 97 = 1"
+#: kind, rank, pattern over ``x`` and the condition on a match ``h``.  _ is no part of a word there.
+_PATTERNED = (
+    ("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "t", "true"),
+    ("ip", 1, "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "t", f"regexp_full_match(h, '{_BYTE}(\\.{_BYTE}){{3}}')"),
+    ("card", 2, "[0-9](?:[ -]?[0-9])+", "t", f"len({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    ("phone", 3, "\\+[0-9][ ().0-9-]+[0-9]", "t", f"len({_DIGITS}) BETWEEN 9 AND 15"),
+    ("iban", 4, "\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\\b", "replace(t, '_', '~')", _MOD97),
+)
+_AROUND = "lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(t, e + 1, 40))"
+#: kind, rank, lengths, pattern, what must not stand before and after, words nearby.
+_FIXED = (
+    ("ssn", 5, (11,), "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9-]", "[0-9-]", "ssn|social security|tax id"),
+    ("local", 6, (14, 12), "(\\([0-9]{3}\\) |[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}", "[0-9(.+-]", "[0-9-]", "phone|tel|call|mobile|fax"),
+)
+
+
+def _op5_sql() -> str:
+    parts, kinds = [], ("email", "ip", "card", "phone")
+    for kind, rank, pattern, source, valid in _PATTERNED:
+        found = f"SELECT r, unnest(regexp_extract_all(x, '{pattern}')) AS h, unnest(regexp_split_to_array(x, '{pattern}')) AS g, generate_subscripts(regexp_split_to_array(x, '{pattern}'), 1) AS i FROM (SELECT r, {source} AS x FROM docs)"
+        placed = f"SELECT r, h, sum(length(g) + coalesce(length(h), 0)) OVER (PARTITION BY r ORDER BY i)::BIGINT AS e FROM ({found})"
+        parts.append(f"SELECT r, '{kind}' AS kind, {rank} AS rank, e - length(h) AS s, e FROM ({placed}) WHERE h IS NOT NULL AND {valid}")
+    for kind, rank, lengths, pattern, before, after, near in _FIXED:
+        for n in lengths:
+            starts = f"SELECT r, t, unnest(range(0, length(t) - {n - 1})) AS s FROM docs WHERE regexp_matches(t, '{pattern}')"
+            fits = f"regexp_full_match(substr(t, s + 1, {n}), '{pattern}') AND NOT regexp_matches(substr(t, s, 1), '{before}') AND NOT regexp_matches(substr(t, e + 1, 1), '{after}')"
+            parts.append(f"SELECT r, '{kind}' AS kind, {rank} AS rank, s, e FROM (SELECT r, t, s, s + {n} AS e FROM ({starts})) WHERE {fits} AND regexp_matches({_AROUND}, '{near}')")
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{k}'), 0)::BIGINT AS n_{k}" for k in kinds)
+    name = "kind || ':' || s || ':' || e"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+kept AS (SELECT * FROM found f WHERE rank < 4 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.r = f.r AND b.rank < 4 AND b.s < f.e AND f.s < b.e)),
+listed AS (SELECT r, {counts}, string_agg({name}, ',' ORDER BY s, rank, e) FILTER (rank < 4) AS base, string_agg({name}, ',' ORDER BY s, rank, e) AS spans FROM kept GROUP BY r)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN listed USING (r)
+"""
+
+
+#: The other operators learn, search approximately, tokenise or test for randomness; tests hold them against plain versions.
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op4_decontaminate": _OP4, "op5_personal_data": _op5_sql(), "op7_mix_sources": _OP7}
