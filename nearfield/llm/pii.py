@@ -40,24 +40,20 @@ LEAST = 0.6
 NEAR = 40
 
 
-def _tagged(text: Column, spans: Column, kind: str, rank: int) -> Column:
-    """``spans`` with their kind and a score that context words raise."""
+def _score(kind: str, parts: Column):
+    """The score of a span of ``kind``, which context words raise; parts: the text in blocks."""
     base, more = SCORES[kind]
 
-    def score(parts: Column):
-        def of(s: Column) -> Column:
-            begin = F.greatest(s["start"] - NEAR, F.lit(0))
-            around = F.lower(F.concat(S.cut(parts, begin, s["start"] - begin), F.lit(" "), S.cut(parts, s["end"], F.lit(NEAR))))
-            return F.lit(base) + F.when(around.rlike(CONTEXT[kind]), more).otherwise(0.0)
+    def of(s: Column) -> Column:
+        begin = F.greatest(s["start"] - NEAR, F.lit(0))
+        around = F.lower(F.concat(S.cut(parts, begin, s["start"] - begin), F.lit(" "), S.cut(parts, s["end"], F.lit(NEAR))))
+        return F.lit(base) + F.when(around.rlike(CONTEXT[kind]), more).otherwise(0.0)
 
-        return of
+    return of
 
-    tag = lambda own: S.bound(S.blocks(text), lambda parts: S.named(own, kind, rank, score(parts)))
-    return S.bound(spans, lambda own: F.when(F.size(own) > 0, tag(own)).otherwise(F.array().cast(S.NAMED)))
 
-
-def pii_spans(text: Column) -> tuple[Column, Column]:
-    """(base, all): arrays of (start, rank, end, kind, value, score), sorted."""
+def pii_spans(text: Column) -> Column:
+    """All spans that the patterns and check digits leave: (start, rank, end, kind, value, score), kind by kind."""
     n = lambda v: F.char_length(S.digits(v))
     found = {
         "email": F.when(F.contains(text, F.lit("@")), S.matches(text, EMAIL, lambda v: F.lit(True))),
@@ -68,11 +64,10 @@ def pii_spans(text: Column) -> tuple[Column, Column]:
         "ssn": F.when(text.rlike(SSN), S.matches(text, SSN, lambda v: F.lit(True))),
         "local": F.when(text.rlike(LOCAL), S.matches(text, LOCAL, lambda v: F.lit(True))),
     }
-    rank = {k: i for i, k in enumerate((*KINDS, *MORE))}
-    tagged = {k: _tagged(text, F.coalesce(c, S.none()), k, rank[k]) for k, c in found.items()}
-    base = F.concat(*(tagged[k] for k in KINDS))
-    more = F.filter(F.concat(*(tagged[k] for k in MORE)), lambda s: s["score"] >= LEAST)
-    return base, more
+    proposed = F.struct(*(F.coalesce(c, S.none()).alias(k) for k, c in found.items()))
+    scored = lambda own, parts: F.concat(*(S.named(own[k], k, i, _score(k, parts)) for i, k in enumerate((*KINDS, *MORE))))
+    some = lambda own: sum((F.size(own[k]) for k in found), F.lit(0)) > 0
+    return S.bound(proposed, lambda own: F.when(some(own), S.bound(S.blocks(text), lambda parts: scored(own, parts))).otherwise(F.array().cast(S.NAMED)))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -87,6 +82,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     docs = without(docs, "base", "spans")
-    base, more = pii_spans(F.coalesce(F.col("text"), F.lit("")))
-    out = docs.withColumns({"base": base, "spans": more})
+    out = docs.withColumn("spans", pii_spans(F.coalesce(F.col("text"), F.lit(""))))
+    base = F.filter("spans", lambda s: s["rank"] < len(KINDS))
+    more = F.filter("spans", lambda s: (s["rank"] >= len(KINDS)) & (s["score"] >= LEAST))
+    out = out.withColumns({"base": base, "spans": more})
     return out.withColumns({"base": F.array_sort("base"), "spans": F.array_sort(F.concat("base", S.clear_of(F.col("spans"), F.col("base"))))})
