@@ -51,7 +51,7 @@ _open = threading.local()
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables staged inside, by this thread, go at the end, but for those that ask to stay."""
+    """Tables staged inside, by this thread, go at the end; those that ask to stay go with the scratch around this one."""
     scopes = _open.__dict__.setdefault("scopes", [])
     scopes.append([])
     try:
@@ -65,13 +65,14 @@ def scratch(spark: SparkSession):
 def staged(df: DataFrame, stays: bool = False) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back.
 
-    The table goes with the ``scratch`` around it; one that stays, or that none is around, goes with the driver.
+    The table goes with the ``scratch`` around it, one that stays with the next one further out, and where there is none with the driver.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     scopes = _open.__dict__.setdefault("scopes", [])
-    if scopes and not stays:
-        scopes[-1].append(path)
+    owners = scopes[:-1] if stays else scopes
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)

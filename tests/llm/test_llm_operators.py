@@ -942,3 +942,28 @@ def test_packed_numbers_come_back():
         small, large = rng.integers(0, 1 << 32, n).astype("<u4"), rng.integers(0, 1 << 63, n).astype("<u8")
         assert (unplanes(planes(small)) == small).all() and (unplanes(planes(large)) == large).all()
         assert (unpacked(packed(np.sort(large))) == np.sort(large)).all()
+
+
+def test_a_token_of_many_sets_is_heavy(spark):
+    """The sketch counts a token as often as sets hold it, whatever the number of tasks, so the production limit is reached."""
+    from nearfield.llm import ngram_join as N
+    from nearfield.llm.common import WordHashes
+
+    docs = spark.range(0, N.HEAVY + 20_000, 1, 3).selectExpr("id AS doc_id", "concat('c1 c2 c3 c4 c5 u', id) AS text")
+    first = docs.mapInArrow(N._first_pass(5, 18), "doc_id long, class long, n long, block int, cells binary, counts binary, more binary")
+    levels, heavy = N._levels(first.where("block is not null").select("doc_id", "block", "cells", "counts", "more"), 18)
+    grams = [g for _, g in N.ngram_sets([b"c1 c2 c3 c4 c5", b"c2 c3 c4 c5 u7"], 5, WordHashes())]
+    common, rare = (int(levels[int(g[0]) & ((1 << 18) - 1)]) for g in grams)
+    assert common >= heavy > rare
+
+
+def test_shortened_sets_come_back():
+    from nearfield.llm import ngram_join as N
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 300, 70_000):
+        grams = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        whole = N.unshort(N.short(grams))
+        assert (whole == grams >> np.uint64(16)).all()
+        bits, values = N.unsketched(N.sketched(whole))
+        assert (values == (whole >> np.uint64(48 - bits)).astype(np.int64)).all() and bits <= 48
