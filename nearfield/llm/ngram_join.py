@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WordHashes, column_bytes, give_back, hashed_words, joined, mixed, scratch, small_batches, staged, table_batch, tidy
+from nearfield.llm.common import WordHashes, column_bytes, give_back, joined, mixed, scratch, small_batches, staged, table_batch, text_words, tidy
 from nearfield.llm.components import components
 
 #: Most cells of the count sketch that orders tokens; its levels (one byte a cell) are broadcast: 16 MB.
@@ -53,7 +53,7 @@ LIST_PART = 512
 HUB_PART = 1024
 #: Pairs up to this number are broadcast (64 MB) to leave out sets that no pair names; more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
-FLUSH_WORDS, FLUSH_POSTS = 300_000, 400_000
+FLUSH_BYTES, FLUSH_POSTS = 2_000_000, 400_000
 #: Postings of a bucket, about; 16 bytes each, and some 150 more while a task sorts them.
 BUCKET_POSTS = 400_000
 #: A token that so many sets may hold is heavy: its postings are not gathered in one task.
@@ -67,35 +67,31 @@ LOOK = 0.5
 
 def ngram_sets(texts: list[bytes | None], n: int, memory: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
     """(place, sorted distinct n-gram hashes) of each text; a shorter text is one n-gram, no words give none."""
-    at, parts, size = [], [], 0
+    first, size = 0, 0
 
-    def emit():
-        if not at:
-            return
-        words = np.concatenate(parts)
+    def emit(first, after):
+        words, counts = text_words(texts[first:after], memory)
         full = joined([words[i : len(words) - n + 1 + i] for i in range(n)], n) if len(words) >= n else words[:0]
         start = 0
-        for place, part in zip(at, parts, strict=True):
-            end = start + len(part)
-            if len(part) >= n:
+        for place, count in enumerate(counts.tolist(), first):
+            end = start + count
+            if count >= n:
                 grams = full[start : end - n + 1].copy()
                 grams.sort()
                 yield place, grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
-            elif len(part):
-                yield place, joined([part[i : i + 1] for i in range(len(part))], len(part))
+            elif count:
+                yield place, joined([words[start + i : start + i + 1] for i in range(count)], count)
             else:
-                yield place, part
+                yield place, words[:0]
             start = end
 
     for place, text in enumerate(texts):
-        words = hashed_words(text or b"", memory)
-        at.append(place)
-        parts.append(words)
-        size += len(words)
-        if size >= FLUSH_WORDS:
-            yield from emit()
-            at, parts, size = [], [], 0
-    yield from emit()
+        size += len(text or b"")
+        if size >= FLUSH_BYTES:
+            yield from emit(first, place + 1)
+            first, size = place + 1, 0
+    if first < len(texts):
+        yield from emit(first, len(texts))
 
 
 def set_class(grams: np.ndarray) -> int:

@@ -967,3 +967,20 @@ def test_shortened_sets_come_back():
         assert (whole == grams >> np.uint64(16)).all()
         bits, values = N.unsketched(N.sketched(whole))
         assert (values == (whole >> np.uint64(48 - bits)).astype(np.int64)).all() and bits <= 48
+
+
+def test_words_are_hashed_side_by_side():
+    """Equal words get equal hashes, different ones different ones, and no word of usual length is looked up by itself."""
+    from nearfield.llm import ngram_join as N
+    from nearfield.llm.common import WordHashes, text_words
+
+    odd = [None, b"", b" \n", b"A b\tc\x0bD", b"x" * 64 + b" " + b"X" * 65 + b" " + b"X" * 64, b"\xc3\xa9 \x00a a\x00 a", b"z" * 1000, b" two words\x1f ", None]
+    hashes, counts = text_words(odd, WordHashes())
+    words = [w for t in odd for w in (t or b"").lower().split()]
+    assert counts.tolist() == [len((t or b"").lower().split()) for t in odd]
+    known = dict(zip(words, hashes.tolist(), strict=True))
+    assert [known[w] for w in words] == hashes.tolist() and len(set(known.values())) == len(known)
+
+    memory = WordHashes()
+    sets = dict(N.ngram_sets([b"one two three four five six", None, b"One two", b"y" * 65], 5, memory))
+    assert [len(sets[k]) for k in range(4)] == [2, 0, 1, 1] and list(memory) == [b"y" * 65]
