@@ -26,8 +26,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v over its length; the components of a zero vector become null."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.try_divide(x, length))
+    # As an array, so that the length is worked out once a row; a lambda would do it again for each component.
+    return F.zip_with(v, F.array_repeat(norm(v), F.size(v)), F.try_divide)
 
 
 def shifted(v: Column, by: Sequence[float]) -> Column:
