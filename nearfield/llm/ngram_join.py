@@ -19,7 +19,8 @@ searched:
   components meet in blocks.  There shortened hashes bound each overlap from
   above, and a union-find keeps at most one candidate link for each join of two
   components, so a group sends no more rows than it has members.  Candidates are
-  tested exactly; a group that a failed candidate joined runs again without it.
+  tested exactly; a group that a failed candidate joined runs once more on whole
+  hashes, which leave nothing to test.
 
 No list is cut: a list with many members is dealt out in pairs of blocks, and
 joins on it by parts.
@@ -387,9 +388,9 @@ def unshort(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sketched(grams: np.ndarray) -> bytes:
-    """The upper bits of each 48-bit hash, twelve more than number the set, as differences; the first byte is their number."""
-    bits = min(48, 12 + max(1, len(grams) - 1).bit_length())
+def sketched(grams: np.ndarray, whole: bool = False) -> bytes:
+    """The upper bits of each 48-bit hash, twelve more than number the set or all, as differences; the first byte is their number."""
+    bits = 48 if whole else min(48, 12 + max(1, len(grams) - 1).bit_length())
     step = np.diff(grams >> np.uint64(48 - bits), prepend=np.uint64(0))
     kind = next(k for k in ("<u2", "<u4", "<u8") if int(step.max()) <= np.iinfo(k).max)
     return bytes([bits, int(kind[2])]) + step.astype(kind).tobytes()
@@ -399,10 +400,14 @@ def unsketched(data: bytes) -> tuple[int, np.ndarray]:
     return data[0], np.cumsum(np.frombuffer(data, f"<u{data[1]}", offset=2), dtype=np.int64)
 
 
-def _with_sketches(batches):
+def _with_sketches(whole: bool):
     schema = pa.schema([("class", pa.int64()), ("sketch", pa.binary())])
-    for batch in batches:
-        yield table_batch(schema, **{"class": batch.column(0)}, sketch=[sketched(unshort(x)) for x in batch.column(1).to_pylist()])
+
+    def run(batches):
+        for batch in batches:
+            yield table_batch(schema, **{"class": batch.column(0)}, sketch=[sketched(unshort(x), whole) for x in batch.column(1).to_pylist()])
+
+    return tidy(run)
 
 
 def _bitmap(bits: int):
@@ -437,8 +442,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Up to MOST_BROADCAST pairs reach the sets by broadcast, so only sets that a
     pair names are shuffled; more pairs are joined by shuffle.  The set of a b
-    with many pairs is sent once for each part of them.  A class may come from
-    several of its documents, so a pair may come again.
+    with many pairs is sent once for each part of them.
     """
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts")).where("parts > 1")
     if hubs.count() <= MOST_BROADCAST:
@@ -458,21 +462,14 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _candidates(percent: int, every: bool):
     """Candidate links of a group whose overlap the shortened hashes do not rule out.
 
-    Rows with ``other`` name pairs that were tested and failed.  Unless ``every``,
-    only links between components, and one for each join of two: the others
-    follow from them.
+    Whole hashes leave the links alone.  Unless ``every``, only links between
+    components, and one for each join of two: the others follow from them.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        failed, table = table.filter(table.column("other").is_valid()), table.filter(table.column("other").is_null())
         c, n, comp, side = (np.asarray(table.column(k), np.int64).copy() for k in ("class", "n", "comp", "side"))
         _, comp = np.unique(comp, return_inverse=True)
         across = len(np.unique(side)) > 1  # only pairs of the two sides
-        place = {int(x): i for i, x in enumerate(c)}
-        apart: dict[int, list[int]] = {}
-        for a, b in zip(failed.column("class").to_pylist(), failed.column("other").to_pylist(), strict=True):
-            apart.setdefault(place[a], []).append(place[b])
-            apart.setdefault(place[b], []).append(place[a])
         values = [unsketched(x) for x in table.column("sketch").to_pylist()]
         bits = np.array([b for b, _ in values])
         reach = (100 // percent).bit_length()
@@ -494,8 +491,6 @@ def _candidates(percent: int, every: bool):
                     fit &= comp[rows] != comp[k]
                 if across:
                     fit &= side[rows] != side[k]
-                if k in apart:
-                    fit &= ~np.isin(rows, apart[k])
                 near = np.flatnonzero(fit)
                 if not len(near):
                     continue
@@ -550,20 +545,32 @@ def _dealt(placed: DataFrame) -> DataFrame:
 def _compared(placed: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
     """The links (a, b) that the lists' blocks find, all tested exactly; see ``_candidates``."""
     dealt = staged(_dealt(placed))
-    sketches = sets.mapInArrow(tidy(_with_sketches), "class long, sketch binary").hint("merge")
-    links, failed = None, None
-    while True:
-        rows = dealt if failed is None else dealt.join(failed.select(*GROUP).distinct(), list(GROUP), "left_semi")
-        rows = rows.join(sketches, "class").select(*GROUP, "class", "n", "comp", "side", "sketch", F.lit(None).cast("long").alias("other"))
-        if failed is not None:
-            rows = rows.unionByName(failed.select(*GROUP, F.col("a").alias("class"), F.col("b").alias("other")), allowMissingColumns=True)
-        loose = staged(rows.groupBy(*GROUP).applyInArrow(_candidates(percent, every), "a long, b long, list long, kind int, i int, j int"))
-        held = staged(_exact(loose.select("a", "b").distinct(), sets, percent))
-        links = held if links is None else links.unionByName(held)
-        new = loose.join(held, ["a", "b"], "left_anti")
-        if every or not new.limit(1).count():
-            return links.distinct()
-        failed = staged(new if failed is None else failed.unionByName(new).join(new.select(*GROUP).distinct(), list(GROUP), "left_semi"))
+
+    def found(rows: DataFrame, whole: bool) -> DataFrame:
+        sketches = sets.mapInArrow(_with_sketches(whole), "class long, sketch binary").hint("merge")
+        rows = rows.join(sketches, "class").select(*GROUP, "class", "n", "comp", "side", "sketch")
+        return staged(rows.groupBy(*GROUP).applyInArrow(_candidates(percent, every), "a long, b long, list long, kind int, i int, j int"))
+
+    loose = found(dealt, False)
+    links = staged(_exact(loose.select("a", "b").distinct(), sets, percent))
+    if every:
+        return links
+    # Near copies share what their shortened hashes have in common by chance, so one failed candidate may
+    # stand for as many as two components have pairs: such groups run once more, on whole hashes.
+    again = staged(loose.join(links, ["a", "b"], "left_anti").select(*GROUP).distinct())
+    if not again.limit(1).count():
+        return links
+    return links.unionByName(found(dealt.join(again, list(GROUP), "left_semi"), True).select("a", "b")).distinct()
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    """One row of ``sets(class, grams)`` for each class; equal texts that several tasks pick give it more than once."""
+    sets = staged(sets.withColumn("at", F.monotonically_increasing_id()))
+    twice = staged(sets.groupBy("class").agg(F.min("at").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("class", "first"))
+    many = twice.count()
+    if many:
+        sets = sets.join(F.broadcast(twice) if many <= MOST_BROADCAST else twice, "class", "left").where("first IS NULL OR first = at")
+    return sets.select("class", "grams")
 
 
 def _members(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None, int]:
@@ -608,7 +615,7 @@ def _members(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     for row in wanted.select(bit).distinct().withColumn("part", F.floor(F.col("bit") / ((1 << bits) // PICK_PARTS))).groupBy("part").applyInArrow(_bitmap(bits), "part long, bits binary").collect():
         picked[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(bytes(row["bits"]), np.uint8)
     sets = docs.select("text", F.xxhash64("doc_id").alias("h")).select("text", bit).mapInArrow(_picked_sets(n, sc.broadcast(picked)), "class long, grams binary")
-    return members, classes, lists, staged(sets), boundary
+    return members, classes, lists, _once(sets), boundary
 
 
 def boundary_size(docs: DataFrame, n: int = 5, percent: int = 80) -> int:

@@ -237,6 +237,49 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert made and sum(made) < 20_000
 
 
+def test_failed_candidates_cost_one_more_round(spark, monkeypatch):
+    """Two groups whose shortened hashes agree more than their sets do: all pairs fail, in one round and not in one each."""
+    from nearfield.llm import ngram_join as N
+
+    rng = np.random.default_rng(5)
+    fresh = lambda k: rng.integers(0, 1 << 47, k).astype(np.uint64) * np.uint64(2)
+    common, one, two = fresh(88), fresh(11), fresh(11)
+    two[:2] = one[:2] + np.uint64(1)  # apart in the last bit of 48 alone: 88 of 112 in truth, 90 of 110 as shortened
+    sets = {g * 10 + k: np.sort(np.concatenate((common, part, fresh(1)))) for g, part in ((0, one), (1, two)) for k in range(6)}
+    sets[20] = np.sort(np.concatenate((sets[0][:95], fresh(5))))
+    rows = spark.createDataFrame([(c, N.short(x << np.uint64(16))) for c, x in sets.items()], "class long, grams binary")
+    placed = spark.createDataFrame([(7, 0, 1, c, len(x), c // 10 * 10) for c, x in sets.items()], "list long, salt int, salts int, class long, n long, comp long")
+    made, plain = [], N.staged
+
+    def watched(df, stays=False):
+        if "kind" in df.columns and "a" in df.columns:
+            made.append(df.columns)
+            assert len(made) < 6
+        return plain(df, stays)
+
+    monkeypatch.setattr(N, "staged", watched)
+    links = {tuple(sorted(r)) for r in N._compared(placed, rows, 80, every=False).collect()}
+    assert len(links) == 1 and 20 in min(links) and min(min(links)) < 6
+    assert len(made) == 2
+
+
+def test_copies_in_many_tasks_are_one_set(spark):
+    """Copies of a text that several tasks read make no link of a class with itself."""
+    from nearfield.llm import ngram_join as N
+
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join([*base[:k], f"x{rng.randrange(10**6)}", *base[k + 1 :]]) for k in range(40)]
+    docs = spark.createDataFrame([(40 * copy + i, x) for copy in range(12) for i, x in enumerate(texts)], "doc_id long, text string").repartition(12, "doc_id")
+    links, _ = plain_links(texts)
+    assert Counter(map(tuple, N.ngram_links(docs).collect())) == Counter(map(tuple, map(sorted, links)))
+    with N.scratch(spark):
+        sets = N._members(docs, 5, 80)[3]
+        assert sets.count() == sets.select("class").distinct().count() == 40
+    many = spark.createDataFrame([(1, b"a"), (1, b"a"), (2, b"b"), (1, b"a")], "class long, grams binary")
+    assert sorted(map(tuple, N._once(many).collect())) == [(1, b"a"), (2, b"b")]
+
+
 def test_language_accuracy(spark):
     d = "/root/testdata/sf0.01"
     lang = {i: x for i, _, x, _ in documents(spark, d)}
