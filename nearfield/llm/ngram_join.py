@@ -16,7 +16,7 @@ searched:
   a set of n bounds the overlap by n - i, and so the size of a partner.
 * On each list every member is first tested against one hub; connected members
   need no further test.  Members of one list that are still in different
-  components meet in blocks.  There shortened hashes bound each overlap from
+  components meet in blocks, lists of mostly the same members once.  There shortened hashes bound each overlap from
   above, and a union-find keeps at most one candidate link for each join of two
   components, so a group sends no more rows than it has members.  Candidates are
   tested exactly; a group that a failed candidate joined runs once more on whole
@@ -520,6 +520,24 @@ def _candidates(percent: int, every: bool):
 GROUP = ("list", "kind", "i", "j")
 
 
+def _merged(placed: DataFrame) -> DataFrame:
+    """The rows (list, salt, salts, class, n, comp) of lists with several components, lists of mostly the same members as one.
+
+    A passage that texts share puts them on a list for each of its tokens.  Lists
+    whose least hashed member agrees become one where that has at most twice the
+    members of the longest, so every pair stays and no list grows beyond that.
+    """
+    lists = placed.groupBy("list").agg(F.min(F.xxhash64("class")).alias("least"), F.count("*").alias("m"), F.max("salts").alias("salts"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    lists = lists.select("list", "least", "m", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = staged(placed.join(lists, ["list", "salt"]))
+    union = rows.groupBy("least", "class").agg(F.max("m").alias("m"), F.count("*").alias("times"))
+    near = staged(union.groupBy("least").agg(F.count("*").alias("members"), F.max("m").alias("m"), F.max("times").alias("times")).where("times > 1 AND members <= 2 * m").select("least", "members"))
+    rows = rows.join(F.broadcast(near) if near.count() <= MOST_BROADCAST else near, "least", "left")
+    salts = F.ceil(F.col("members") / LIST_PART).cast("int")
+    one = rows.where("members IS NOT NULL").select(F.col("least").alias("list"), F.pmod(F.xxhash64("class"), salts).cast("int").alias("salt"), salts.alias("salts"), "class", "n", "comp").distinct()
+    return staged(rows.where("members IS NULL").select("list", "salt", "salts", "class", "n", "comp").unionByName(one))
+
+
 def _dealt(placed: DataFrame) -> DataFrame:
     """The rows (list, salt, salts, class, n, comp) of lists with several components, dealt into groups (list, kind, i, j).
 
@@ -544,10 +562,12 @@ def _dealt(placed: DataFrame) -> DataFrame:
 
 def _compared(placed: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
     """The links (a, b) that the lists' blocks find, all tested exactly; see ``_candidates``."""
-    dealt = staged(_dealt(placed))
+    dealt = staged(_dealt(_merged(placed)))
 
     def found(rows: DataFrame, whole: bool) -> DataFrame:
-        sketches = sets.mapInArrow(_with_sketches(whole), "class long, sketch binary").hint("merge")
+        named = staged(rows.select("class").distinct())
+        own = sets.join(F.broadcast(named), "class", "left_semi") if named.count() <= MOST_BROADCAST else sets
+        sketches = own.mapInArrow(_with_sketches(whole), "class long, sketch binary").hint("merge")
         rows = rows.join(sketches, "class").select(*GROUP, "class", "n", "comp", "side", "sketch")
         return staged(rows.groupBy(*GROUP).applyInArrow(_candidates(percent, every), "a long, b long, list long, kind int, i int, j int"))
 

@@ -280,6 +280,23 @@ def test_copies_in_many_tasks_are_one_set(spark):
     assert sorted(map(tuple, N._once(many).collect())) == [(1, b"a"), (2, b"b")]
 
 
+def test_lists_of_the_same_members_are_one(spark):
+    """A shared passage makes a list for each of its tokens; they meet once, and lists with little in common stay apart."""
+    from nearfield.llm import ngram_join as N
+
+    lists = {k: [c for c in range(50) if c != k] for k in range(30)} | {100 + k: [99, *range(1000 + 40 * k, 1039 + 40 * k)] for k in range(3)} | {200: [7, 8]}
+    comp = lambda c: 7 if c == 8 else c
+    placed = spark.createDataFrame([(k, 0, 1, c, 30, comp(c)) for k, v in lists.items() for c in v], "list long, salt int, salts int, class long, n long, comp long")
+    with N.scratch(spark):
+        merged = N._merged(placed).collect()
+    after = {}
+    for r in merged:
+        after.setdefault(r["list"], []).append(r["class"])
+    assert len(merged) < 120 + 150 and all(len(v) == len(set(v)) for v in after.values())
+    pairs = lambda ls: {(a, b) for v in ls for a in v for b in v if comp(a) < comp(b)}
+    assert pairs(after.values()) == pairs(lists.values())
+
+
 def test_language_accuracy(spark):
     d = "/root/testdata/sf0.01"
     lang = {i: x for i, _, x, _ in documents(spark, d)}
