@@ -19,6 +19,10 @@ CODES = {1: "cosine", 2: "gen_jaccard", 3: "euclidean"}
 #: Codes of the sketch distances.
 SKETCH_CODES = {3: "hamming", 4: "match", 5: "one_bit", 6: "sq_euclidean"}
 WORD_BITS = 32
+#: Rows that a query is compared with at once, so that they stay in a processor's cache.
+CACHED = 1_024
+#: Sums between which single precision keeps its relative accuracy, however they are made up.
+SINGLE = (1e-20, 1e20)
 
 
 def _cos(a: Column, b: Column) -> Column:
@@ -67,11 +71,35 @@ def _np_square(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
 
 
+def _single(*sums: np.ndarray) -> bool:
+    """Whether sums over vectors without negative components are safe in single precision: zero, or far from its limits."""
+    return all(bool(((s == 0) | ((s > SINGLE[0]) & (s < SINGLE[1]))).all()) for s in sums)
+
+
+def _smaller(q: np.ndarray, x: np.ndarray, kind) -> np.ndarray:
+    """Sums of the smaller components, of every query with every row, a few rows at once."""
+    out, ones, held = np.empty((len(q), len(x)), kind), np.ones(q.shape[1], kind), np.empty((CACHED, q.shape[1]), kind)
+    q = q.astype(kind)
+    for s in range(0, len(x), CACHED):
+        rows = x[s : s + CACHED].astype(kind)
+        least = held[: len(rows)]
+        for i, row in enumerate(q):
+            np.dot(np.minimum(rows, row, out=least), ones, out=out[i, s : s + CACHED])
+    return out
+
+
 def _np_jaccard(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    low = np.stack([np.minimum(x, row).sum(1) for row in q]) if len(q) else np.zeros((0, len(x)))
-    high = q.sum(1)[:, None] + x.sum(1)[None, :] - low
+    sums = q.sum(1), x.sum(1)
+    plain = not ((q < 0).any() or (x < 0).any()) and _single(*sums)
+    low = _smaller(q, x, np.float32 if plain else np.float64)
+    out = sums[0][:, None] + sums[1][None, :]
+    out -= low
+    none = out == 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(high != 0, 1 - low / high, np.nan)
+        np.divide(low, out, out=out)
+    np.subtract(1, out, out=out)
+    out[none] = np.nan
+    return out
 
 
 def _np_differing(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -122,7 +150,9 @@ ROWS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "gen_jaccard": _row_jaccard,
     "sq_euclidean": lambda q, x: ((x - q) ** 2).sum(1),
 }
-#: Kernels and row sums differ by less than this, for vectors of length one.
+#: Kernels and row sums differ by less than this, for vectors of length one, ...
 SLACK = 1e-6
+#: ... and by this much more a component where a kernel counts in single precision: four roundings.
+SLACK_A_COMPONENT = {"gen_jaccard": 2.0**-22}
 #: Distances over whole numbers (sketch words and hash values).
 INTEGER = {"hamming", "one_bit", "match"}

@@ -119,6 +119,9 @@ class MinHash:
 
     def __post_init__(self):
         bounds = np.asarray(self.bounds, np.int64)
+        if not bounds.any():  # an empty table has no components, and nothing is drawn
+            self.component, self.height = np.zeros((self.streams(), self.draws), np.int64), np.full((self.streams(), self.draws), np.inf)
+            return
         r = np.round(np.random.default_rng(self.seed).random((self.streams(), self.draws)) * bounds.sum(), 6)
         r = np.minimum(r, bounds.sum() - 1e-6)
         slot = np.repeat(np.arange(len(bounds)), bounds)
