@@ -50,12 +50,15 @@ class SimHash:
     seed: int = 42
     planes: np.ndarray = field(init=False, repr=False)
     as_key, as_sketch, unit, metric, exact = True, True, False, "hamming", "cosine"
+    #: Outputs of a vector that is null: no bit is set.
+    of_null = 0
 
     def __post_init__(self):
         self.planes = gaussian((self.groups * self.bits, self.dim), self.seed)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return packed((x @ self.planes.T >= 0).reshape(len(x), self.groups, self.bits))
+        # Not below zero: as SQL orders numbers, nan is above all.
+        return packed((~(x @ self.planes.T < 0)).reshape(len(x), self.groups, self.bits))
 
 
 @dataclass
@@ -177,7 +180,7 @@ def matrix(column: pa.Array, dim: int | None = None, kind=np.float64) -> np.ndar
 
 
 def with_hash(df: DataFrame, family, name: str) -> DataFrame:
-    """``df(.., v)`` with the family's outputs as an array column."""
+    """``df(.., v)`` with the family's outputs as an array column; a null vector is an error unless the family has outputs for it."""
     real = isinstance(family, JL)
     item = "double" if real else "long"
     # By value: executors may not have the repository on their path.
@@ -186,11 +189,17 @@ def with_hash(df: DataFrame, family, name: str) -> DataFrame:
     def run(batches):
         known = pickle.loads(sent.value)
         for b in batches:
-            x = matrix(b.column(b.schema.get_field_index("v")), getattr(known, "dim", None) or len(known.bounds))
+            v, of_null = b.column(b.schema.get_field_index("v")), getattr(known, "of_null", None)
+            there = v.is_valid().to_numpy(zero_copy_only=False) if of_null is not None else np.ones(len(v), bool)
+            x = matrix(v if there.all() else v.drop_null(), getattr(known, "dim", None) or len(known.bounds))
             if family_unit:
                 length = np.sqrt((x * x).sum(1, keepdims=True))
                 x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
             out = known(x)
+            if not there.all():
+                all_rows = np.full((len(v), known.groups), of_null, out.dtype)
+                all_rows[there] = out
+                out = all_rows
             kind = pa.list_(pa.float64() if real else pa.int64())
             yield pa.RecordBatch.from_pydict(dict(zip(b.schema.names, b.columns, strict=True)) | {name: pa.array(list(out), kind)})
 
